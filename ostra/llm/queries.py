@@ -6,15 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ostra.llm.chat import conversations_as_trees, digest, format_trees
 from ostra.llm.common import table
+from ostra.llm.decontam import contaminations
+from ostra.llm.language import identify
 from ostra.llm.licenses import scan_licenses
+from ostra.llm.mixing import mix
+from ostra.llm.sharding import shard
 from ostra.llm.simhash import near_duplicates
 from ostra.llm.tokens import count_tokens
+from ostra.llm.topk import pivot_top_k
+from ostra.llm.toxicity import score_toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digest(format_trees(conversations_as_trees(rows.unionByName(odd))))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return score_toxicity(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminations(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path(VOCABULARY))
@@ -24,14 +59,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    return identify(pages.select("page_id", "url", "html"), docs.select("doc_id", "text", "lang", "source"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_token_counts": op6_token_counts,
-    "op7_simhash": op7_simhash,
-    "op10_licenses": op10_licenses,
+    f.__name__: f
+    for f in (op1_mixing, op2_sharding, op3_chat_trees, op4_toxicity, op5_decontamination, op6_token_counts, op7_simhash, op8_language, op9_top_k, op10_licenses)
 }
 
 ORACLES: dict[str, str] = {}
