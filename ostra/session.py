@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once an application.
+
+    The driver serves it to the executors, which need no copy installed.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="ostra-ship-")) / "ostra_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(path))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` once and cut its lineage with a reliable checkpoint.
 
