@@ -1,23 +1,63 @@
-"""The corpus pipeline; its stages are added as their operators are."""
+"""The corpus pipeline: five stages from raw documents to sharded training data."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ostra.llm.common import table
+from ostra.llm.decontam import drop_contaminated
+from ostra.llm.mixing import mixed_documents
+from ostra.llm.sharding import shard
 from ostra.llm.simhash import keep_one
+from ostra.llm.toxicity import drop_toxic
+from ostra.session import checkpoint_dir
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; it learns from the labels of the documents at hand."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
     return keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go, edited ones too."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target weight takes it."""
+    return mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard): where each row of the mix goes."""
+    placed = shard(docs.select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: The classifier and the alignment can't be expressed in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``, each one's result written to the shared folder and read again."""
+    import uuid
+
+    docs, base = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
     return docs
