@@ -237,13 +237,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     spark, out = docs.sparkSession, docs
     for block in item_blocks(items, most):
         shipped = spark.sparkContext.broadcast(Detector(block, rare_seeds(block, seed_counts(docs, block))))
+        out = out.withColumn("_clean", clean_column(shipped, threshold)(F.col("text"))).where("_clean").select(*docs.columns)
+    return out
 
-        def run(batches: Iterator[pa.Array], shipped=shipped) -> Iterator[pa.Array]:
-            for batch in batches:
-                clean = np.ones(len(batch), bool)
-                clean[[f[0] for f in shipped.value.find(text_bytes(batch)) if f[2] >= threshold]] = False
-                yield pa.array(clean)
 
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        out = out.withColumn("_clean", F.arrow_udf(run, "boolean")(F.col("text"))).where("_clean").select(*docs.columns)
-    return out
+def clean_column(shipped, threshold: float):
+    """A column function from texts to whether they hold no passage of the shipped detector's items."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            clean = np.ones(len(batch), bool)
+            clean[[f[0] for f in shipped.value.find(text_bytes(batch)) if f[2] >= threshold]] = False
+            yield pa.array(clean)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")
