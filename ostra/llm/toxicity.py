@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from ostra.llm.common import text_bytes
 
-#: Labelled rows of each class on which the model is fitted, those of smallest hash, and the bytes of their texts.
-FIT_ROWS, FIT_BYTES = 4000, 48 << 20
+#: Labelled toxic and clean rows on which the model is fitted, those of smallest hash, and the bytes of their texts.
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1000, 7000, 40 << 20
 BUCKETS, DIM, WINDOW = 1 << 17, 8, 5
 GRAMS = (3, 4, 5, 6)
 ROUNDS, RATE, SEED = 12, 0.05, 3
+#: Words of one text, and of one step's texts, in the first rounds of training; a bound of the fit's memory only.
+LONG, STEP_WORDS = 4000, 12_000
 THRESHOLD = 0.3
 MEMO = 400_000
 
@@ -100,101 +102,115 @@ class Model:
 
 
 def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """Fit on whole texts: first on averages over texts, then on each text's worst window and a random one of clean texts."""
+    """Fit on whole texts: first on averages over texts, then on each text's worst window and random ones of clean texts.
+
+    ``texts`` is emptied while it is read, so that a driver holds them once. Small samples get more rounds.
+    """
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (buckets, DIM))
     w, b = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in words_of(t)], np.int64) for t in texts]
     y = np.asarray(labels, np.int64)
-    if not vocabulary or len(set(y.tolist())) < 2:  # nothing to learn: the rate of the labels, or its half where there are none
+    vocabulary: dict[bytes, int] = {}
+    docs: list[np.ndarray] = []
+    texts.reverse()
+    while texts:
+        docs.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in words_of(texts.pop())], np.int32))
+    full = [k for k in range(len(docs)) if len(docs[k])]
+    if len({int(y[k]) for k in full}) < 2:  # nothing to learn: the rate of the labels
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros((1, DIM)), w, np.array([0.0, np.log(p / (1 - p))]))
-    flat, size = grams(list(vocabulary), buckets)
+    e = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
+    bags, sizes, words = [], [], list(vocabulary)
+    for at in range(0, len(words), 1 << 14):
+        g, n = grams(words[at : at + (1 << 14)], buckets)
+        bags.append(g.astype(np.int32))
+        sizes.append(n.astype(np.int32))
+    flat, size = np.concatenate(bags), np.concatenate(sizes).astype(np.int64)
+    del words, vocabulary, bags, sizes
     start = np.r_[0, size.cumsum()]
-    ge, gw, gb = np.full(buckets, 1e-3), np.full_like(w, 1e-3), np.full_like(b, 1e-3)
+    ge, gw, gb = np.full(buckets, 1e-3, np.float32), np.full_like(w, 1e-3), np.full_like(b, 1e-3)
 
-    def gather(word_ids: np.ndarray) -> np.ndarray:
-        n = size[word_ids]
-        return flat[np.repeat(start[word_ids] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())]
+    def gather(ids: np.ndarray) -> np.ndarray:
+        n = size[ids]
+        return flat[np.repeat(start[ids] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())]
 
     def step(spans: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         """One Adagrad step on a batch of word spans, through both layers."""
         nonlocal w, b
         ids = [gather(s) for s in spans]
         n = np.array([len(i) for i in ids])
-        all_ids, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), n)
-        first = np.r_[0, n.cumsum()[:-1]]
-        h = np.add.reduceat(e[all_ids], first, axis=0) / n[:, None]
-        z = h @ w + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        every, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), n)
+        h = np.add.reduceat(e[every], np.r_[0, n.cumsum()[:-1]], axis=0) / n[:, None]
+        p = softmax(h @ w + b)
         d = p.copy()
         d[np.arange(len(target)), target] -= 1
-        dh = d @ w.T / n[:, None]
+        dh = (d @ w.T / n[:, None]).astype(np.float32)
         dw, db = h.T @ d / len(target), d.mean(axis=0)
-        adagrad(all_ids, dh[owner], rate)
+        order = np.argsort(every, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0])
+        g, hit = np.add.reduceat(dh[owner[order]], at, axis=0), every[order][at]
+        ge[hit] += (g * g).mean(axis=1)
+        e[hit] -= rate * g / np.sqrt(ge[hit])[:, None]
         gw[:] += dw * dw
         gb[:] += db * db
         w = w - rate * dw / np.sqrt(gw)
         b = b - rate * db / np.sqrt(gb)
 
-    def adagrad(ids: np.ndarray, d: np.ndarray, rate: float) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, d = ids[order], d[order]
-        at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        d, ids = np.add.reduceat(d, at, axis=0), ids[at]
-        ge[ids] += (d * d).mean(axis=1)
-        e[ids] -= rate * d / np.sqrt(ge[ids])[:, None]
-
-    full = [k for k in range(len(docs)) if len(docs[k])]
-    clean, toxic = [k for k in full if not y[k]], [k for k in full if y[k]]
-    if not clean or not toxic:
-        return Model(e, w, b)
+    rounds = max(rounds, min(6 * rounds, 40_000 // len(full)))
+    whole = max(2, rounds // 6)
     for r in range(rounds):
-        weights = e @ (w[:, 1] - w[:, 0])
-        per_word = np.add.reduceat(weights[flat], start[:-1])
+        per_word = np.add.reduceat((e @ (w[:, 1] - w[:, 0]).astype(np.float32))[flat].astype(np.float64), start[:-1])
         spans, target = [], []
         for k in rng.permutation(full):
             d = docs[k]
             n = min(WINDOW, len(d))
-            sums = np.concatenate([np.zeros((1, 2)), np.c_[per_word[d], size[d]].cumsum(axis=0)])
-            span = sums[n:] - sums[:-n]
-            logit = span[:, 0] / span[:, 1]
-            if r < 2:  # whole texts, in pieces that bound a step's memory
-                some = d if len(d) <= 400 else d[rng.integers(len(d) - 400) :][:400] if not y[k] else d
-                spans.append(some)
+            s, c = np.r_[0.0, per_word[d].cumsum()], np.r_[0, size[d].cumsum()]
+            logit = (s[n:] - s[:-n]) / (c[n:] - c[:-n])
+            best = int(logit.argmax())
+            if r < whole:  # whole texts; of a very long one the piece about its worst window
+                first = max(0, min(best - LONG // 2, len(d) - LONG))
+                spans.append(d[first : first + LONG])
                 target.append(y[k])
                 continue
-            best = int(logit.argmax())
             spans.append(d[best : best + n])
             target.append(y[k])
             if not y[k]:
-                for _ in range(2):
-                    at = int(rng.integers(len(d) - n + 1))
-                    spans.append(d[at : at + n])
-                    target.append(0)
-        size_of = 64 if r < 2 else 256
-        t = np.array(target)
-        for at in range(0, len(spans), size_of):
-            step(spans[at : at + size_of], t[at : at + size_of], RATE * (4 if r < 2 else 1))
-    return Model(e.astype(np.float32), w, b)
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Model:
-    """Train on labelled rows outside the held-out fold: for each class up to ``rows`` of smallest hash,
+                for _ in range(2):  # the next worst ones that don't overlap, and a random one
+                    logit[max(0, best - n + 1) : best + n] = -np.inf
+                    best = int(logit.argmax())
+                    spans.append(d[best : best + n])
+                at = int(rng.integers(len(logit)))
+                spans.append(d[at : at + n])
+                target += [0, 0, 0]
+        t, at = np.array(target), 0
+        while at < len(spans):  # a step's spans by number and by words
+            end, some = at, 0
+            while end < len(spans) and end - at < (64 if r < whole else 256) and (end == at or some + len(spans[end]) <= STEP_WORDS):
+                some += len(spans[end])
+                end += 1
+            step(spans[at:end], t[at:end], RATE * (4 if r < whole else 1))
+            at = end
+    return Model(e, w, b)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN, most_bytes: int = FIT_BYTES) -> Model:
+    """Train on labelled rows outside the held-out fold: up to ``toxic`` and ``clean`` rows of smallest hash,
     and of those, in that order, texts of up to ``most_bytes`` in all. Both are bounds of the fit only.
 
     Null labels, null ids and null texts teach nothing; a doc_id's label is 1 if any of its rows says so.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = known.where("toxic = 1").orderBy(*order).limit(rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(rows))
+    some = known.where("toxic = 1").orderBy(*order).limit(toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean))
     ids = some.select("doc_id", "toxic").toPandas()
     spark = docs.sparkSession
     if not len(ids):
         return train([], np.array([]))
-    chosen = F.broadcast(spark.createDataFrame(ids))  # 2 * rows of two numbers
+    chosen = F.broadcast(spark.createDataFrame(ids))  # toxic + clean rows of two numbers
     sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("n")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("n").alias("n")).toPandas()
     sizes = sizes.assign(h=pd.util.hash_array(sizes.doc_id.to_numpy(), categorize=False)).sort_values(["h", "doc_id"])
     sizes = sizes[sizes.n.cumsum() <= most_bytes]
@@ -202,8 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: in
         return train([], np.array([]))
     chosen = F.broadcast(spark.createDataFrame(sizes[["doc_id", "toxic"]].astype("int64")))
     # of several texts with one id the smallest counts
-    got = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
-    return train([t.encode("utf-8", "replace") for t in got.text], got.toxic.to_numpy())
+    got = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = got.select("doc_id", "toxic", F.col("text").cast("binary")).orderBy("doc_id").toArrow()
+    y, texts = rows["toxic"].to_numpy(), rows["text"].to_pylist()
+    del rows
+    return train(texts, y)
 
 
 def held_out(doc_id: str = "doc_id"):
