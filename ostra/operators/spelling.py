@@ -29,8 +29,12 @@ def candidates(index: DataFrame, words: list[str], compat: bool = False) -> Data
     grams = asked.select("word", F.length("word").alias("word_len"), F.explode(bigrams(F.col("word"))).alias("bigram")).groupBy("word", "word_len", "bigram").agg(F.count("*").alias("m"))
     shared = index.join(F.broadcast(grams), "bigram").where("word <> token")
     surplus = F.greatest(F.col("n") - F.col("m"), F.lit(0))
-    bonus = F.floor(surplus / 2) if compat else F.lit(0)
+    # of a bigram that the word hasn't, every second one counts as well: the token's own sum, less what is shared
+    bonus = F.floor(surplus / 2) - F.floor(F.col("n") / 2) if compat else F.lit(0)
     pairs = shared.groupBy("word", "word_len", "token").agg(F.first("df").alias("df"), F.sum(F.least("n", "m")).alias("common"), F.sum(bonus).alias("bonus"))
+    if compat:
+        own = index.groupBy("token").agg(F.sum(F.floor(F.col("n") / 2)).alias("own"))
+        pairs = pairs.join(own, "token").withColumn("bonus", F.col("bonus") + F.col("own"))
     # a word of n characters has n + 1 bigrams; a bonus match uses up two of the token's
     inter = F.col("common") + F.col("bonus")
     rest = F.col("word_len") + F.length("token") + 2 - 2 * F.col("common") - 2 * F.col("bonus")
