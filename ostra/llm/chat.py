@@ -21,9 +21,6 @@ from ostra.session import settle
 
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-#: More doublings than any path has steps; what is left then lies on or behind a cycle.
-MOST_STEPS = 40
-
 
 def escape(text: str) -> str:
     """One more backslash in each ``<|``, ``<\\|``, ...; so no control string is left."""
@@ -70,11 +67,14 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         .select("m.tree", "m.node", F.col("p").alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("m.score").cast("double"), F.lit(0.0)).alias("total"))
     )
     jumps = [steps]
-    while len(jumps) <= MOST_STEPS and not jumps[-1].where("up is not null").isEmpty():
+    # doubling leaves ever fewer messages that haven't reached a root; as soon as it doesn't, all of them lie on or behind a cycle
+    before, left = -1, steps.where("up is not null").count()
+    while left not in (0, before):
         s = jumps[-1]
         far = s.select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("total2"))
         both = s.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u")), "left")
         jumps.append(settle(both.select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))))
+        before, left = left, jumps[-1].where("up is not null").count()
     parents = steps.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
     leaves = jumps[-1].where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
     leaves = gapless_rank(leaves.select("tree", F.col("node").alias("leaf"), F.col("n").alias("length"), (F.col("total") / F.col("n")).alias("mean")), ["tree"], [F.desc("mean"), F.col("leaf")], "branch")
