@@ -212,7 +212,8 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     """(doc_id, item_id, score, end_word) for each row of ``docs`` and item of which it holds a passage.
 
     ``score``: the alignment's score as a share of the item's best possible one, from ``threshold``.
-    Whole texts are searched. Null and empty texts hold nothing; repeated rows give repeated
+    Whole texts are searched; a passage is aligned where it holds a seed of the item, of which items
+    shorter than ``GRAM`` words have one, the whole. Null and empty texts hold nothing; repeated rows give repeated
     results; items without words are never found. Texts are read twice and never shuffled.
     """
     spark = docs.sparkSession
@@ -237,7 +238,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     spark, out = docs.sparkSession, docs
     for block in item_blocks(items, most):
         shipped = spark.sparkContext.broadcast(Detector(block, rare_seeds(block, seed_counts(docs, block))))
-        out = out.withColumn("_clean", clean_column(shipped, threshold)(F.col("text"))).where("_clean").select(*docs.columns)
+        out = out.where(clean_column(shipped, threshold)(F.col("text")))
     return out
 
 

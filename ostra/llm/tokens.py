@@ -184,4 +184,4 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 10
                 names=[*kept, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(*[docs[f"`{c}`"] for c in kept], docs[f"`{text}`"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(kept)], docs[f"`{text}`"].alias("_text")).mapInArrow(run, schema)

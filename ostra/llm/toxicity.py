@@ -259,4 +259,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text isn't predicted toxic, with all columns; a map, texts aren't shuffled."""
     score = scorer(docs.sparkSession, fit(docs, labels))
-    return docs.withColumn("_score", score(F.col("text"))).where(F.col("_score") < threshold).select(*docs.columns)
+    return docs.where(score(F.col("text")) < threshold)

@@ -53,7 +53,7 @@ def test_expressions():
 
 def test_tags_and_notices():
     scan = lambda t: Scanner().scan(t.encode())
-    r = scan("// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause and so\nrest")
+    r = scan("// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause so and\nrest")
     assert r["labels"] == "bsd,gpl,mit" and r["score"] == 0.95 and r["n_base"] == 0
     assert scan("GNU Lesser General Public License")["labels"] == "gpl,lgpl"
     assert scan("nothing here") | {"expressions": 0} == {"n_words": 2, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "expressions": 0}
