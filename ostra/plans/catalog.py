@@ -21,7 +21,7 @@ from ostra.operators.search import SearchEngine, fetch, hybrid, snippet, top_k
 from ostra.operators.vector import dot, gather
 from ostra.plans.boolean import evaluate
 from ostra.plans.query_language import parse_query
-from ostra.session import checkpoint_dir, ship
+from ostra.session import checkpoint_dir, ship, spread
 from ostra.sources.corpus import documents_corpus, pages_corpus
 from ostra.sources.store import concat_parts
 
@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_corpus(table(spark, sf_dir, "documents"))
+    return documents_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> ix.Index:

@@ -45,6 +45,15 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all of them; any other as it is.
+
+    Only a table of a few small files is ever moved; with more splits than cores there is no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` once and cut its lineage with a reliable checkpoint.
 

@@ -4,7 +4,8 @@ import pytest
 from ostra.plans import catalog
 
 import compare
-from conftest import SMALL
+from compare import SMALL
+
 
 
 @pytest.fixture(scope="module")
