@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, and
+"""Benchmark decontamination: n-gram seeds join training passages to test items, and
 Smith-Waterman alignment scores the passages, so edited copies are found as well.
 
-Texts become sequences of the items' words (any other word is -1 and aligns with nothing). How
-many documents hold each n-gram of an item is counted over the whole corpus. An n-gram is a seed
-of an item unless it is common beside that item's other n-grams: passages with many copies make
-all n-grams of their item frequent alike and keep their seeds, while everyday phrases are dropped.
+Texts become sequences of the items' words (any other word is -1 and aligns with nothing). Every
+n-gram of an item is a seed, however many documents hold it: an edited or partial passage with
+many copies makes just the n-grams frequent by which it is found. Everyday phrases are seeds too;
+where they stand alone, an upper bound of the alignment's score rules the stretch out.
 """
 
 from __future__ import annotations
@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 from ostra.llm.common import text_bytes
 
 GRAM = 3
-#: An n-gram is too common for a seed with so many times the document count of its item's quartile.
-COMMON = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible alignment score from which a document counts as contaminated.
 THRESHOLD = 0.5
 #: Bytes of item texts that are shipped to the tasks at once; more items are taken in blocks.
 BLOCK_BYTES = 8 << 20
-#: Alignments computed together.
-TOGETHER = 128
+#: Alignments computed together, by number and by words; a stretch of seeds is split behind LONG words.
+TOGETHER, TOGETHER_WORDS, LONG = 128, 1 << 19, 1 << 12
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -111,83 +109,70 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> list[tuple[int
     return list(zip(best.tolist(), end.tolist(), strict=True))
 
 
-def seed_counts(docs: DataFrame, items: Items) -> dict[tuple[int, int], int]:
-    """In how many rows of ``docs`` each n-gram of the items stands: at most one count for each of them."""
-    shipped = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = shipped.value, {n: np.zeros(len(shipped.value.sorted[n]), np.int64) for n in shipped.value.lengths}
-        for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                ids = own.sequence(text)
-                for n in own.lengths:
-                    _, key = own.hits(ids, n, own.sorted[n])
-                    counts[n][np.searchsorted(own.sorted[n], np.unique(key))] += 1
-        for n in own.lengths:
-            some = np.flatnonzero(counts[n])
-            yield pa.RecordBatch.from_pydict({"n": pa.array(np.full(len(some), n, np.int32)), "key": pa.array(own.sorted[n][some]), "docs": pa.array(counts[n][some])})
-
-    got = docs.select("text").mapInArrow(run, "n int, key long, docs long").groupBy("n", "key").agg(F.sum("docs").alias("docs")).toArrow().to_pandas()
-    return {(int(r.n), int(r.key)): int(r.docs) for r in got.itertuples()}
-
-
-def rare_seeds(items: Items, counts: dict[tuple[int, int], int]) -> dict[int, dict[int, list[tuple[int, int]]]]:
-    """The seeds that remain: key to (item, place)."""
-    out: dict[int, dict[int, list[tuple[int, int]]]] = {n: defaultdict(list) for n in items.lengths}
-    per_item: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for n in items.lengths:
-        for key, places in items.of[n].items():
-            for item, at in places:
-                per_item[item].append((counts.get((n, key), 0), n, key, at))
-    for item, grams in per_item.items():
-        usual = sorted(g[0] for g in grams)[len(grams) // 4]
-        for docs, n, key, at in grams:
-            if docs <= max(COMMON, COMMON * usual):
-                out[n][key].append((item, at))
-    return out
+def most_score(held: np.ndarray) -> int:
+    """The most that an alignment can score if of one side's words just the ``held`` ones stand on the other."""
+    total = np.cumsum(np.where(held, MATCH, max(MISMATCH, GAP)))
+    return int((total - np.minimum.accumulate(np.r_[0, total])[:-1]).max(initial=0))
 
 
 class Detector:
-    """Finds the items of which a text holds a passage."""
+    """Finds the items of which a text holds a passage that scores ``threshold`` at least."""
 
-    def __init__(self, items: Items, seeds: dict[int, dict[int, list[tuple[int, int]]]]) -> None:
-        self.items, self.seeds = items, seeds
-        self.sorted = {n: np.array(sorted(s), np.int64) for n, s in seeds.items()}
+    def __init__(self, items: Items, threshold: float) -> None:
+        self.items, self.threshold = items, threshold
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, word behind the last) of each stretch in which seeds of the item lie."""
+        """(item, first word, word behind the last) of each stretch about seeds of the item.
+
+        An alignment through a seed has no more gaps than its matches pay for above the threshold,
+        so each one that reaches it lies in its seed's stretch as a whole.
+        """
         spots: dict[int, list[int]] = defaultdict(list)
         for n in self.items.lengths:
-            at, key = self.items.hits(ids, n, self.sorted[n])
+            at, key = self.items.hits(ids, n, self.items.sorted[n])
             for p, k in zip(at.tolist(), key.tolist(), strict=True):
-                for item, place in self.seeds[n][k]:
+                for item, place in self.items.of[n][k]:
                     spots[item].append(p - place)  # where the item would begin
         out = []
         for item, begins in spots.items():
             length = len(self.items.words[item])
-            slack = length // 2 + 4
+            slack = int(MATCH * length * max(0.0, 1 - self.threshold) / -GAP) + 1
             begins.sort()
             first = last = begins[0]
             for b in [*begins[1:], None]:
-                if b is None or b - last > slack:
+                if b is None or b - last > slack or b - first > LONG:
                     out.append((item, max(0, first - slack), min(len(ids), last + length + slack)))
                     first = b
                 last = b
         return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
-        """(text's place, item id, score, word behind the passage): each text's best alignment with each item."""
+        """(text's place, item id, score, word behind the passage): each text's best alignment with each item, from the threshold."""
         jobs = []
+        marked = np.zeros(self.items.base, bool)  # by word; the last place is that of foreign words
         for k, text in enumerate(texts):
             ids = self.items.sequence(text)
-            jobs += [(k, item, start, ids[start:end].astype(np.int32)) for item, start, end in self.candidates(ids)]
+            for item, start, end in self.candidates(ids):
+                own, part, held = self.items.words[item], ids[start:end], []
+                for some, of in ((part, own), (own, part)):
+                    marked[some] = True
+                    marked[-1] = False
+                    held.append(marked[of])
+                    marked[some] = False
+                least = self.threshold * MATCH * len(own) - 1e-6
+                if most_score(held[0]) >= least and most_score(held[1]) >= least:
+                    jobs.append((k, item, start, part.astype(np.int32)))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         jobs.sort(key=lambda j: len(j[3]))
-        for at in range(0, len(jobs), TOGETHER):
-            part = jobs[at : at + TOGETHER]
+        at = 0
+        while at < len(jobs):
+            stop = at + 1
+            while stop < min(len(jobs), at + TOGETHER) and (stop + 1 - at) * len(jobs[stop][3]) <= TOGETHER_WORDS:
+                stop += 1
+            part, at = jobs[at:stop], stop
             for (k, item, start, _), (score, end) in zip(part, align([self.items.words[j[1]] for j in part], [j[3] for j in part]), strict=True):
                 share = score / (MATCH * len(self.items.words[item]))
-                if share > best.get((k, item), (0.0, 0))[0]:
+                if share >= self.threshold and share > best.get((k, item), (0.0, 0))[0]:
                     best[k, item] = (share, start + end)
         return [(k, self.items.ids[item], share, end) for (k, item), (share, end) in sorted(best.items())]
 
@@ -214,16 +199,16 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     ``score``: the alignment's score as a share of the item's best possible one, from ``threshold``.
     Whole texts are searched; a passage is aligned where it holds a seed of the item, of which items
     shorter than ``GRAM`` words have one, the whole. Null and empty texts hold nothing; repeated rows give repeated
-    results; items without words are never found. Texts are read twice and never shuffled.
+    results; items without words are never found. Texts are never shuffled.
     """
     spark = docs.sparkSession
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
     for block in item_blocks(items, most):
-        shipped = spark.sparkContext.broadcast(Detector(block, rare_seeds(block, seed_counts(docs, block))))
+        shipped = spark.sparkContext.broadcast(Detector(block, threshold))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [f for f in shipped.value.find(text_bytes(batch.column(1))) if f[2] >= threshold]
+                found = shipped.value.find(text_bytes(batch.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())],
                     names=["doc_id", "item_id", "score", "end_word"],
@@ -237,18 +222,18 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
     """The rows of ``docs`` without a passage of any item, with all columns; texts aren't shuffled."""
     spark, out = docs.sparkSession, docs
     for block in item_blocks(items, most):
-        shipped = spark.sparkContext.broadcast(Detector(block, rare_seeds(block, seed_counts(docs, block))))
-        out = out.where(clean_column(shipped, threshold)(F.col("text")))
+        shipped = spark.sparkContext.broadcast(Detector(block, threshold))
+        out = out.where(clean_column(shipped)(F.col("text")))
     return out
 
 
-def clean_column(shipped, threshold: float):
+def clean_column(shipped):
     """A column function from texts to whether they hold no passage of the shipped detector's items."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             clean = np.ones(len(batch), bool)
-            clean[[f[0] for f in shipped.value.find(text_bytes(batch)) if f[2] >= threshold]] = False
+            clean[[f[0] for f in shipped.value.find(text_bytes(batch))]] = False
             yield pa.array(clean)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

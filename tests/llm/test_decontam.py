@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from ostra.llm.decontam import GAP, MATCH, MISMATCH, THRESHOLD, align, contaminations, drop_contaminated, words_of
+from ostra.llm.decontam import GAP, MATCH, MISMATCH, THRESHOLD, Detector, Items, align, contaminations, drop_contaminated, words_of
 from ostra.llm.queries import op5_decontamination
 
 from tests_data import MIDDLE, SMALL, documents
@@ -77,6 +77,44 @@ def test_a_passage_in_most_documents_keeps_its_seeds(spark):
     assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {k for k in range(300) if not k % 3}
 
 
+def test_many_equal_edited_and_cut_copies(spark):
+    """Every document with every item by the whole table: what few n-grams find, be they in hundreds of documents."""
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(40))) for k in range(4)]
+    words = [t.split() for _, t in items]
+    spread = [w for k, w in enumerate(words[2]) for w in ([w, *["filler"] * 26] if k == 25 else [w])]  # more than half an item between its parts
+    kinds = [
+        ["changed" if k % 8 == 7 else w for k, w in enumerate(words[0])], words[1][:24], spread, words[3][18:],
+        [w for k, w in enumerate(words[0]) if k % 9 != 4], words[1][:14],  # the last one is below the threshold
+    ]
+    docs = [(300 * k + i, " ".join([f"before{i}", "plain", *kind, "after", f"it{i}"])) for k, kind in enumerate(kinds) for i in range(200)]
+    docs += [(9000 + i, " ".join(words[i % 4][j : j + 3])) for i in range(40) for j in (5, 20)]  # seeds that stand alone
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    by_text = {}
+    for d, t in docs:
+        key = t.replace(f"before{d % 300}", "x").replace(f"it{d % 300}", "x")
+        by_text.setdefault(key, []).append(d)
+    wanted = {}
+    for t, ids in by_text.items():
+        for i, w in items:
+            a = words_of(w.encode())
+            score = smith_waterman(a, words_of(t.encode())) / (MATCH * len(a))
+            wanted |= {(d, i): score for d in ids if score >= THRESHOLD}
+    assert len(wanted) >= 5 * 200 and not any(d // 300 == 5 for d, _ in wanted)
+    assert {(r.doc_id, r.item_id): r.score for r in contaminations(rows, frame).collect()} == wanted
+    bad = {d for d, _ in wanted}
+    assert sorted(r.doc_id for r in drop_contaminated(rows, frame).collect()) == sorted(d for d, _ in docs if d not in bad)
+
+
+def test_long_stretches_are_split():
+    rng = random.Random(7)
+    item = [f"w{rng.randint(0, 9)}" for _ in range(30)]
+    text = " ".join([*item[:3]] * 5000 + item + [*item[:3]] * 3000).encode()
+    (found,) = Detector(Items([7], [" ".join(item).encode()]), THRESHOLD).find([text])
+    assert found[:3] == (0, 7, 1.0)
+
+
 def test_odd_rows_and_blocks(spark, nasty, empty):
     items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, None), (None, "x y z"), (3, ""), (4, "one"), (5, "one two"), (1, "alpha beta gamma delta")], "item_id long, text string")
     # "one" alone is half of item 5, but holds no seed of it
