@@ -67,8 +67,8 @@ def grams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 class Model:
     """Embeddings ``e``, softmax ``w`` and ``b``; scoring needs a number a bucket only, as both layers are linear."""
 
-    def __init__(self, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
-        self.e, self.w, self.b = e, w, b
+    def __init__(self, e: np.ndarray, w: np.ndarray, b: np.ndarray, fitted: bool = True) -> None:
+        self.e, self.w, self.b, self.fitted = e, w, b, fitted
         self.weight = (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
         self.bias = float(b[1] - b[0])
         self.memo: dict[bytes, int] = {}
@@ -117,7 +117,7 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
     full = [k for k in range(len(docs)) if len(docs[k])]
     if len({int(y[k]) for k in full}) < 2:  # nothing to learn: the rate of the labels
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros((1, DIM)), w, np.array([0.0, np.log(p / (1 - p))]))
+        return Model(np.zeros((1, DIM)), w, np.array([0.0, np.log(p / (1 - p))]), fitted=False)
     e = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
     bags, sizes, words = [], [], list(vocabulary)
     for at in range(0, len(words), 1 << 14):
@@ -199,7 +199,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN, most_bytes: int = FIT_BYTES) -> Model:
     """Train on labelled rows outside the held-out fold: up to ``toxic`` and ``clean`` rows of smallest hash,
-    and of those, in that order, texts of up to ``most_bytes`` in all. Both are bounds of the fit only.
+    and of those, in that order, the texts that fit into what is left of ``most_bytes``. Both are bounds of the fit only.
 
     Null labels, null ids and null texts teach nothing; a doc_id's label is 1 if any of its rows says so.
     """
@@ -213,7 +213,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int =
     chosen = F.broadcast(spark.createDataFrame(ids))  # toxic + clean rows of two numbers
     sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("n")).join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("n").alias("n")).toPandas()
     sizes = sizes.assign(h=pd.util.hash_array(sizes.doc_id.to_numpy(), categorize=False)).sort_values(["h", "doc_id"])
-    sizes = sizes[sizes.n.cumsum() <= most_bytes]
+    left, fits = most_bytes, []
+    for n in sizes.n.tolist():
+        fits.append(n <= left)
+        left -= n if fits[-1] else 0
+    sizes = sizes[np.array(fits, bool)]
     if not len(sizes):
         return train([], np.array([]))
     chosen = F.broadcast(spark.createDataFrame(sizes[["doc_id", "toxic"]].astype("int64")))
@@ -249,14 +253,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text, ...).
 
     Only texts are scored, whole; labels teach by ``fit``. Null and empty texts get the score of an
-    empty window. Without any label of both classes every score is the rate of the labels seen. Repeated rows are scored each.
+    empty window. Without labelled texts of both classes every score is the rate of the labels seen, and none is
+    predicted toxic. Repeated rows are scored each.
     """
-    score = scorer(docs.sparkSession, fit(docs, labels))
+    model = fit(docs, labels)
+    score = scorer(docs.sparkSession, model)
     out = docs.select("doc_id", held_out().alias("held_out"), score(F.col("text")).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.withColumn("predicted", ((F.col("score") >= threshold) & F.lit(model.fitted)).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text isn't predicted toxic, with all columns; a map, texts aren't shuffled."""
-    score = scorer(docs.sparkSession, fit(docs, labels))
-    return docs.where(score(F.col("text")) < threshold)
+    """The rows of ``docs`` whose text isn't predicted toxic, with all columns; a map, texts aren't shuffled.
+
+    Without labelled texts of both classes nothing can be told apart, and all rows stay.
+    """
+    model = fit(docs, labels)
+    return docs.where(scorer(docs.sparkSession, model)(F.col("text")) < threshold) if model.fitted else docs

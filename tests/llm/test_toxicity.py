@@ -1,8 +1,9 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 from ostra.llm.queries import op4_toxicity
-from ostra.llm.toxicity import drop_toxic, grams, score_toxicity, train
+from ostra.llm.toxicity import drop_toxic, fit, grams, score_toxicity, train
 
 from tests_data import MIDDLE, documents
 
@@ -48,3 +49,21 @@ def test_odd_rows(spark, nasty, empty):
     assert {r.score for r in none} == {0.5}
     assert score_toxicity(empty, labels).count() == 0
     assert drop_toxic(nasty, labels.where("toxic = 0")).columns == nasty.columns
+
+
+def test_a_text_too_long_for_the_fit_costs_only_itself(spark):
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    first = min(ids, key=lambda k: pd.util.hash_array(np.array([k]), categorize=False)[0])
+    text = lambda k: "lovely calm words " * (5000 if k == first else 5) + ("disgusting" if k % 3 == 0 else "pleasant")
+    docs = spark.createDataFrame([(k, text(k)) for k in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in ids], "doc_id long, toxic int")
+    bad, good = fit(docs, labels, most_bytes=50_000).score([b"calm words disgusting", b"lovely calm words pleasant"])
+    assert bad > 0.3 > good
+
+
+def test_nothing_learnt_drops_nothing(spark):
+    docs = documents(spark, MIDDLE).limit(50)
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").select("doc_id", "toxic")
+    for some in (labels.limit(0), labels.where("crc32(cast(doc_id as string)) % 4 = 2"), labels.selectExpr("doc_id", "1 as toxic")):
+        assert {r.predicted for r in score_toxicity(docs, some).collect()} == {0}
+        assert drop_toxic(docs, some).count() == 50
