@@ -228,6 +228,17 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
         roots = roots.select("node", "root")
 
 
+def fingerprint_column():
+    """A column function from texts to their fingerprints as signed longs."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.array([fingerprint(t) for t in text_bytes(batch)], np.uint64).view(np.int64))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, split: int = SPLIT, local: int = LOCAL_EDGES) -> DataFrame:
     """(doc_id, fingerprint, n_near, component_id) for each row of ``docs`` (doc_id, text, ...).
 
@@ -262,18 +273,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, s
     )
 
 
-def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS, split: int = SPLIT, local: int = LOCAL_EDGES) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
-    All columns are kept. If that id has several rows, one of them stays. Rows with a null id stay
-    only if nothing else is in their component's place, that is never lost: they have no id to be joined by and are kept.
+    All columns are kept. Rows of one id are decided apart by their fingerprints: if a component's smallest id has
+    several rows in it, one of them stays, that of smallest fingerprint; a null id comes after all others.
     """
-    found = near_duplicates(docs.select("doc_id", F.col(text).alias("text")), "text", radius)
-    kept = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    out = docs.join(kept.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    double = kept.where("_rows > 1").select("doc_id")
-    if not double.isEmpty():
-        out = out.unionByName(docs.join(double, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not found.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where("doc_id is null"))
+    rows = settle(fingerprints(docs, text, ("doc_id",)))
+    reps = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    links = linked(reps.select("fp", "n"), radius, split).where("other is not null")
+    roots = components(settle(links.select(F.col("fp").alias("a"), F.col("other").alias("b"))), local)
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("doc_id"), F.col("fp").alias("fp"))).alias("first")
+    whole = reps.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(first)
+    kept = settle(whole.select("first.doc_id", "first.fp"))
+    # an id of one row needs no fingerprint; the rows of all others are told apart by theirs
+    several = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
+    out = docs.join(kept.join(several, same(kept, several), "left_anti").select("doc_id"), "doc_id", "left_semi")
+    if not several.isEmpty():
+        name = "_fp"
+        while name in {c.lower() for c in docs.columns}:
+            name += "_"
+        again = docs.join(F.broadcast(several) if several.count() <= 100_000 else several, same(docs, several), "left_semi").withColumn(name, fingerprint_column()(F.col(text)))
+        again = again.join(kept, same(again, kept) & (again[name] == kept["fp"]), "left_semi")
+        out = out.unionByName(again.dropDuplicates(["doc_id", name]).drop(name))
     return out.select(*docs.columns)

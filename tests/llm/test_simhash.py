@@ -96,3 +96,11 @@ def test_components_by_joins(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     small, large = ({r.node: r.root for r in components(df, local).collect()} for local in (10**6, 0))
     assert small == large and small[60] == 0 and small[559] == 500
+
+
+def test_rows_of_one_id_are_decided_apart(spark):
+    a, b, c = (" ".join(f"{x}{i * i % 97}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (8, a + " "), (None, a), (None, "only here without an id"), (None, "only here without an id"), (9, "five"), (9, "six")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = [(5, a), (3, b), (7, c), (None, "only here without an id"), (9, "five"), (9, "six")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, wanted))
