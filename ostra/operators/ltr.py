@@ -91,7 +91,7 @@ def train(x: np.ndarray, relevance: np.ndarray, model: ListNet, rate: float = 1e
     return losses
 
 
-def grid_search(x: np.ndarray, relevance: np.ndarray, valid_x: np.ndarray, valid_relevance: np.ndarray, rates=(1e-4, 3e-4, 1e-3), temperatures=(0.7, 2.0), dropouts=(0.0, 0.1), epochs: int = 3, hidden: int = 512) -> tuple[ListNet, dict]:
+def grid_search(x: np.ndarray, relevance: np.ndarray, valid_x: np.ndarray, valid_relevance: np.ndarray, rates=(5e-3, 1e-3, 5e-4, 1e-4, 5e-5, 1e-5), temperatures=(0.1, 0.3, 0.5, 0.7, 1.0), dropouts=(0.0, 0.1, 0.2, 0.3), epochs: int = 3, hidden: int = 512) -> tuple[ListNet, dict]:
     """The model of the lowest validation loss over all settings."""
     means, stds = x.reshape(-1, x.shape[-1]).mean(axis=0), x.reshape(-1, x.shape[-1]).std(axis=0)
     best, chosen = None, {}

@@ -180,3 +180,11 @@ def test_nothing_but_the_entry_knows_the_optional_part():
 
     root = Path(corpus.__file__).parents[1]
     assert not [f for f in root.rglob("*.py") if "ostra.llm" in f.read_text() and "llm" not in f.relative_to(root).parts]
+
+
+def test_the_grid_is_the_surveyed_one(monkeypatch):
+    seen = set()
+    monkeypatch.setattr(ltr, "train", lambda x, rel, model, rate, t, **more: seen.add((rate, t, model.dropout)))
+    x, rel = np.random.default_rng(0).normal(size=(4, 3, 8)), np.eye(3)[[0, 1, 2, 0]]
+    ltr.grid_search(x, rel, x, rel, hidden=4)
+    assert len(seen) == 6 * 5 * 4
