@@ -43,21 +43,13 @@ _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 _TOKEN = re.compile(rb"\s*(\(|\)|[a-z0-9][a-z0-9.+\-]*)")
 
 
-def parse_expression(tokens: list[str]) -> tuple | None:
-    """The tree of an expression by the shunting-yard method; None if it is no valid one.
+def parse_expression(tokens: list[str]) -> list[str] | None:
+    """An expression in postfix order by the shunting-yard method; None if it is no valid one.
 
-    A tree is ``("id", name)`` or ``(operator, left, right)``; ``with`` binds before ``and``, that before ``or``.
+    ``with`` binds before ``and``, that before ``or``; all bind to the left.
     """
-    out: list[tuple] = []
+    out: list[str] = []
     operators: list[str] = []
-
-    def apply() -> bool:
-        if len(out) < 2:
-            return False
-        right, left = out.pop(), out.pop()
-        out.append((operators.pop(), left, right))
-        return True
-
     operand = True
     for token in tokens:
         if token == "(":
@@ -68,8 +60,7 @@ def parse_expression(tokens: list[str]) -> tuple | None:
             if operand:
                 return None
             while operators and operators[-1] != "(":
-                if not apply():
-                    return None
+                out.append(operators.pop())
             if not operators:
                 return None
             operators.pop()
@@ -77,43 +68,77 @@ def parse_expression(tokens: list[str]) -> tuple | None:
             if operand:
                 return None
             while operators and operators[-1] != "(" and PRECEDENCE[operators[-1]] >= PRECEDENCE[token]:
-                if not apply():
-                    return None
+                out.append(operators.pop())
             operators.append(token)
             operand = True
         else:
             if not operand:
                 return None
-            out.append(("id", token))
+            out.append(token)
             operand = False
-    if operand:
+    if operand or "(" in operators:
         return None
-    while operators:
-        if operators[-1] == "(" or not apply():
-            return None
-    return out[0] if len(out) == 1 else None
-
-
-def alternatives(tree: tuple) -> set[frozenset[str]]:
-    """The sets of licences of which one has to be fulfilled: ``or`` joins them, ``and`` combines each with each."""
-    kind = tree[0]
-    if kind == "id":
-        return {frozenset((tree[1],))}
-    if kind == "or":
-        return alternatives(tree[1]) | alternatives(tree[2])
-    if kind == "with":
-        names = sorted(x for s in alternatives(tree[2]) for x in s)
-        return {s | {f"with:{n}" for n in names} for s in alternatives(tree[1])}
-    return {a | b for a in alternatives(tree[1]) for b in alternatives(tree[2])}
-
-
-def identifiers(tree: tuple) -> list[str]:
-    """All identifiers of a tree; an exception behind ``with`` belongs to its licence."""
-    if tree[0] == "id":
-        return [tree[1]]
-    if tree[0] == "with":
-        return identifiers(tree[1])
-    return identifiers(tree[1]) + identifiers(tree[2])
+    return out + operators[::-1]
+
+
+class Expression:
+    """A parsed expression in its canonical form, made by one pass over the postfix order.
+
+    Nested operands of one and the same ``and`` or ``or`` are joined, equal ones counted once and never
+    multiplied out, so time and memory follow the expression's length however deep or wide it is.
+    """
+
+    def __init__(self, postfix: list[str]) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.nodes: list[tuple] = []
+        # of each open operand: its operator ("" for a name or a with), its operands' numbers, the licences it names
+        stack: list[tuple[str, set[int], set[str]]] = []
+        for token in postfix:
+            if token not in PRECEDENCE:
+                stack.append(("", {self._number(("", token))}, {token}))
+                continue
+            right, left = stack.pop(), stack.pop()
+            if token == "with":  # an exception belongs to its licence and is none itself
+                stack.append(("", {self._number(("with", self._close(left), self._close(right)))}, left[2]))
+                continue
+            parts = [x[1] if x[0] in ("", token) else {self._close(x)} for x in (left, right)]
+            parts.sort(key=len)
+            names = sorted((left[2], right[2]), key=len)
+            parts[1].update(parts[0])  # the smaller set into the larger one
+            names[1].update(names[0])
+            stack.append((token, parts[1], names[1]))
+        self.root, self.licences = self._close(stack[0]), stack[0][2]
+
+    def _number(self, node: tuple) -> int:
+        if node not in self.numbers:
+            self.numbers[node] = len(self.nodes)
+            self.nodes.append(node)
+        return self.numbers[node]
+
+    def _close(self, entry: tuple[str, set[int], set[str]]) -> int:
+        kind, operands, _ = entry
+        return next(iter(operands)) if len(operands) == 1 else self._number((kind, *sorted(operands)))
+
+    def __str__(self) -> str:
+        """Operands in the order of names, then of first appearance; parentheses about operands of another operator."""
+        out, todo = [], [self.root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            kind, *rest = self.nodes[x]
+            if kind == "":
+                out.append(rest[0])
+                continue
+            if kind != "with":
+                rest.sort(key=lambda n: (self.nodes[n][0] != "", self.nodes[n][1] if self.nodes[n][0] == "" else "", n))
+            for k, n in reversed(list(enumerate(rest))):
+                wrapped = self.nodes[n][0] in ("and", "or") or kind == "with" and self.nodes[n][0] == "with"
+                todo += [")", n, "("] if wrapped else [n]
+                if k:
+                    todo.append(f" {kind} ")
+        return "".join(out)
 
 
 def label_of(identifier: str) -> str:
@@ -124,8 +149,8 @@ def label_of(identifier: str) -> str:
     return identifier
 
 
-def longest_expression(raw: bytes, start: int) -> tuple | None:
-    """The tree of the longest valid expression on the line behind a tag."""
+def longest_expression(raw: bytes, start: int) -> Expression | None:
+    """The longest valid expression on the line behind a tag."""
     end = raw.find(b"\n", start)
     tokens, at = [], start
     end = len(raw) if end < 0 else end
@@ -148,7 +173,7 @@ def longest_expression(raw: bytes, start: int) -> tuple | None:
             break
         if not operand and not depth:
             best = k + 1
-    return parse_expression(tokens[:best]) if best else None
+    return Expression(parse_expression(tokens[:best])) if best else None
 
 
 class Scanner:
@@ -188,18 +213,18 @@ class Scanner:
         lower = text.lower()
         if b"license-" in lower or b"spdx" in lower:
             for end, _ in self.raw.iter(lower.decode("latin-1")):
-                tree = longest_expression(lower, end + 1)
-                if tree is not None:
+                said = longest_expression(lower, end + 1)
+                if said is not None:
                     kinds.add("tag")
-                    labels.update(label_of(i) for i in identifiers(tree))
-                    expressions.append(tree)
+                    labels.update(map(label_of, said.licences))
+                    expressions.append(str(said))
         score = 1.0
         for kind in kinds:
             score *= 1 - WEIGHTS[kind]
         return found | {"base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": round(1 - score, 6), "expressions": expressions}
 
 
-SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, choices string"
+SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, expressions string"
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -207,8 +232,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     ``n_words``, base places ``n_base``, the smallest and largest start ``first_word`` and
     ``last_word`` (null without any), ``base_labels`` and ``labels`` (distinct, sorted, joined by
-    commas; empty without any), ``score`` (0 without evidence) and ``choices``: the alternatives
-    that tagged expressions leave, ``a+b|c``. Null texts count as empty. A map without a shuffle.
+    commas; empty without any), ``score`` (0 without evidence) and ``expressions``: the tagged expressions in
+    canonical form, joined by ``; ``. Null texts count as empty; a text or an expression of any length takes time in
+    proportion to it. Repeated rows are scanned each, an empty table stays empty. A map without a shuffle.
     """
     n = len(keep)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), SCHEMA])
@@ -218,8 +244,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         for batch in batches:
             rows = [scanner.scan(t) for t in text_bytes(batch.column(n))]
             for r in rows:
-                r["choices"] = ";".join("|".join(sorted("+".join(sorted(s)) for s in alternatives(t))) for t in r["expressions"])
-            types = {"score": pa.float64(), "base_labels": pa.string(), "labels": pa.string(), "choices": pa.string()}
+                r["expressions"] = "; ".join(r["expressions"])
+            types = {"score": pa.float64(), "base_labels": pa.string(), "labels": pa.string(), "expressions": pa.string()}
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *(pa.array([r[c] for r in rows], types.get(c, pa.int64())) for c in names)], names=[*keep, *names])
 

@@ -1,9 +1,11 @@
 import itertools
 import re
+import time
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-from ostra.llm.licenses import PHRASES, Scanner, alternatives, parse_expression, scan_licenses
+from ostra.llm.licenses import PHRASES, Expression, Scanner, parse_expression, scan_licenses
 from ostra.llm.queries import op10_licenses
 
 from tests_data import MIDDLE, documents
@@ -39,18 +41,64 @@ def test_base_places(text):
     assert shown(Scanner().scan(text.encode())) == base(text)
 
 
+def shown_expression(text):
+    return str(Expression(parse_expression(text.split())))
+
+
+def holds(postfix, granted):
+    """Whether the granted licences fulfil an expression, by plain evaluation."""
+    stack = []
+    for t in postfix:
+        if t not in ("and", "or", "with"):
+            stack.append(t in granted)
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append(left or right if t == "or" else left and right)
+    return stack[0]
+
+
+def tokens_of(text):
+    return text.replace("(", " ( ").replace(")", " ) ").split()
+
+
+EXPRESSION = st.recursive(
+    st.sampled_from(["mit", "isc", "gpl", "x"]), lambda e: st.tuples(e, st.sampled_from(["and", "or", "with"]), e, st.booleans()).map(lambda t: f"( {t[0]} {t[1]} {t[2]} )" if t[3] else f"{t[0]} {t[1]} {t[2]}"), max_leaves=12
+)
+
+
+@given(EXPRESSION)
+def test_canonical_form_means_the_same(text):
+    postfix = parse_expression(text.split())
+    canonical = parse_expression(tokens_of(str(Expression(postfix))))
+    for n in range(5):
+        for granted in itertools.combinations(("mit", "isc", "gpl", "x"), n):
+            assert holds(postfix, granted) == holds(canonical, granted)
+    assert str(Expression(canonical)) == str(Expression(postfix))
+
+
 def test_expressions():
-    for names in itertools.product(("mit", "apache-2.0"), repeat=2):
-        a, b = names
-        assert alternatives(parse_expression([a, "or", b])) == {frozenset((a,)), frozenset((b,))}
-        assert alternatives(parse_expression([a, "and", b])) == {frozenset((a, b))}
-    tree = parse_expression("( mit or gpl-2.0 with classpath ) and isc".split())
-    assert alternatives(tree) == {frozenset(("mit", "isc")), frozenset(("gpl-2.0", "with:classpath", "isc"))}
-    assert parse_expression("mit or apache and isc".split())[0] == "or"
+    assert shown_expression("mit or apache and isc") == "mit or (apache and isc)"
+    assert shown_expression("isc and ( mit or gpl-2.0 with classpath or mit )") == "isc and (mit or gpl-2.0 with classpath)"
+    assert shown_expression("b or ( a or ( c or a ) )") == "a or b or c"
+    assert Expression(parse_expression("gpl-2.0 with classpath and isc".split())).licences == {"gpl-2.0", "isc"}
     for bad in ("", "or", "mit or", "( mit", "mit )", "mit apache", "and mit"):
         assert parse_expression(bad.split()) is None
 
 
+@pytest.mark.parametrize(
+    "expression",
+    [
+        " and ".join(f"(a{i} or b{i})" for i in range(30)), " and ".join(f"(a{i} or b{i})" for i in range(3000)), " or ".join(f"x{i}" for i in range(50_000)),
+        "(" * 20_000 + "mit" + ")" * 20_000, "(a or " * 20_000 + "mit" + ")" * 20_000, "(" * 20_000 + "a" + "".join(f" {'and' if i % 2 else 'or'} x{i})" for i in range(20_000)), "( mit or " * 50_000,
+    ],
+)
+def test_long_expressions_take_time_in_proportion(expression):
+    began = time.process_time()
+    r = Scanner().scan(f"SPDX-License-Identifier: {expression}\n".encode())
+    assert time.process_time() - began < 2
+    assert expression.count("(") != expression.count(")") or r["labels"]
+
+
 def test_tags_and_notices():
     scan = lambda t: Scanner().scan(t.encode())
     r = scan("// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause so and\nrest")
