@@ -4,6 +4,9 @@ Messages name their parent. Iterative self-joins by doubled steps find every mes
 and score along the path (a conversation of n turns takes log2 n joins, not n), then expand the
 chosen leaves to their paths. Branches are ranked by score, and each chosen path becomes one
 conversation in a template whose control strings are escaped inside texts, reversibly.
+
+All joins see ids only. A message names its text by the text's MD5, and the texts move once, to the
+task that formats their tree.
 """
 
 from __future__ import annotations
@@ -12,13 +15,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostra.operators.ranks import gapless_rank
 from ostra.session import settle
 
+#: A tree of more bytes of text, or of more rows on its paths, isn't held by one task: its paths are gathered each for itself.
+TREE_BYTES, TREE_ROWS = 64 << 20, 4_000_000
+#: Formatted characters after which a task hands on what it has.
+FLUSH = 4 << 20
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
@@ -66,77 +73,153 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         messages.alias("m").join(messages.select(F.col("tree").alias("t"), F.col("node").alias("p")), F.col("m.tree").eqNullSafe(F.col("t")) & (F.col("m.parent") == F.col("p")), "left")
         .select("m.tree", "m.node", F.col("p").alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("m.score").cast("double"), F.lit(0.0)).alias("total"))
     )
-    jumps = [steps]
-    # doubling leaves ever fewer messages that haven't reached a root; as soon as it doesn't, all of them lie on or behind a cycle
-    before, left = -1, steps.where("up is not null").count()
+    # of each doubling the messages that haven't reached a root by then; those that have are final and go no further
+    jumps, done = [steps.where("up is not null")], steps.where("up is null")
+    # as soon as doubling doesn't leave fewer of them, all lie on or behind a cycle
+    before, left = -1, jumps[0].count()
     while left not in (0, before):
         s = jumps[-1]
-        far = s.select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("total2"))
-        both = s.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u")), "left")
-        jumps.append(settle(both.select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))))
-        before, left = left, jumps[-1].where("up is not null").count()
+        far = s.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("total2"))
+        both = s.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u")))
+        moved = settle(both.select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("total") + F.col("total2")).alias("total")))
+        jumps.append(moved.where("up is not null"))
+        done = done.unionByName(moved.where("up is null"))
+        before, left = left, jumps[-1].count()
     parents = steps.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
-    leaves = jumps[-1].where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
+    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
     leaves = gapless_rank(leaves.select("tree", F.col("node").alias("leaf"), F.col("n").alias("length"), (F.col("total") / F.col("n")).alias("mean")), ["tree"], [F.desc("mean"), F.col("leaf")], "branch")
     chosen = settle(leaves if branches is None else leaves.where(F.col("branch") < branches))
     members = chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.col("length").alias("depth"))
-    for k in reversed(range(len(jumps) - 1)):
+    for k in reversed(range(len(jumps))):
         # from every message found so far, the one 2**k steps up
-        up = jumps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("u"), "up")
+        up = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("u"), "up")
         more = members.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u"))).select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        members = settle(members.unionByName(more))
+        members = members.unionByName(settle(more))
     return members
 
 
-def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
-    """(tree, leaf, branch, formatted, spans): each chosen path as one conversation.
-
-    ``messages``: tree, node, parent, role, text, score. Null roles and texts are empty.
-    Of several rows with the same tree and node the smallest (parent, role, text) counts.
-    A conversation's turns come together in one row, as they have to; nothing else is gathered.
-    """
-    one = settle(
-        messages.groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")).alias("r"))
-        .select("tree", "node", "r.parent", "r.role", "r.text", "r.score")
+def _formatted(members: DataFrame, texts: DataFrame, most_bytes: int = TREE_BYTES, most_rows: int = TREE_ROWS) -> DataFrame:
+    """(tree, leaf, branch, formatted, spans) from ``members`` (tree, leaf, branch, depth, role, key) and ``texts`` (tree, key, text)."""
+    types = dict(members.dtypes)
+    schema = f"tree {types['tree']}, leaf {types['leaf']}, branch long, formatted string, spans array<struct<start: long, end: long>>"
+
+    def batch(like: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = [like.field("tree").type, like.field("leaf").type, pa.int64(), pa.string(), spans]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["tree", "leaf", "branch", "formatted", "spans"])
+
+    def line(tree, leaf, branch, turns) -> tuple:
+        formatted, spans = format_turns(turns)
+        return tree, leaf, branch, formatted, [{"start": x, "end": y} for x, y in spans]
+
+    # a tree's texts come first, then its paths, each turn by turn
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, own, path, turns, rows, size, like = (), {}, None, [], [], 0, None
+        for got in batches:
+            like = got.schema
+            for t, branch, depth, leaf, role, key, text in zip(*(got.column(c).to_pylist() for c in range(7)), strict=True):
+                if path is not None and (t != tree or branch != path[1]):
+                    rows.append(line(tree, *path, turns))
+                    size += len(rows[-1][3])
+                    path, turns = None, []
+                if t != tree:
+                    tree, own = t, {}
+                if branch is None:
+                    own[key] = text
+                else:
+                    path = leaf, branch
+                    turns.append((role, own[key]))
+                if size >= FLUSH:
+                    yield batch(like, rows)
+                    rows, size = [], 0
+        if path is not None:
+            rows.append(line(tree, *path, turns))
+        if rows:
+            yield batch(like, rows)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            rows = []
+            for tree, leaf, branch, turns in zip(*(got.column(c).to_pylist() for c in range(4)), strict=True):
+                # equal texts of a tree come once each; a place on the path counts once
+                rows.append(line(tree, leaf, branch, [(t["role"], t["text"]) for t, u in zip(turns, [None, *turns]) if u is None or t["depth"] != u["depth"]]))
+            yield batch(got.schema, rows)
+
+    # more than most_bytes in a tree: there are fewer of them than the table has such portions, so their ids are broadcast
+    large = settle(
+        texts.groupBy("tree").agg(F.sum(F.octet_length("text")).alias("b")).where(F.col("b") > most_bytes).select("tree")
+        .union(members.groupBy("tree").count().where(F.col("count") > most_rows).select("tree")).distinct().select(F.col("tree").alias("large"), F.lit(True).alias("is_large"))
+    )
+    some = not large.isEmpty()
+    ordinary = lambda df: df.join(F.broadcast(large), df["tree"].eqNullSafe(F.col("large")), "left_anti") if some else df
+    rows = (
+        ordinary(members).select("tree", "branch", "depth", "leaf", "role", "key", F.lit(None).cast("string").alias("text"))
+        .union(ordinary(texts).select("tree", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast(types["leaf"]), F.lit(None).cast("string"), "key", "text"))
     )
-    member = paths(one.select("tree", "node", "parent", "score"), branches)
-    texts = one.select(F.col("tree").alias("t"), F.col("node").alias("u"), "role", "text")
+    out = rows.repartition("tree").sortWithinPartitions("tree", F.asc_nulls_first("branch"), "depth").mapInArrow(stream, schema)
+    if not some:
+        return out
+    big = lambda df: df.join(F.broadcast(large), df["tree"].eqNullSafe(F.col("large"))).drop("large", "is_large")
+    words = big(texts).select(F.col("tree").alias("t"), F.col("key").alias("k"), "text")
     turns = (
-        member.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")))
+        big(members).join(words, F.col("tree").eqNullSafe(F.col("t")) & (F.col("key") == F.col("k")))
         .groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     )
-    kind = messages.schema["tree"].dataType.simpleString()
-    node = messages.schema["node"].dataType.simpleString()
+    return out.unionByName(turns.mapInArrow(gathered, schema))
+
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            made = [format_turns([(t["role"], t["text"]) for t in turns]) for turns in pdf.turns]
-            yield pdf[["tree", "leaf", "branch"]].assign(formatted=[m[0] for m in made], spans=[[{"start": a, "end": b} for a, b in m[1]] for m in made])
+def _of_trees(nodes: DataFrame, texts: DataFrame, branches: int | None, **bounds: int) -> DataFrame:
+    """Paths of ``nodes`` (tree, node, parent, role, key, score), formatted."""
+    found = paths(nodes.select("tree", "node", "parent", "score"), branches)
+    named = nodes.select(F.col("tree").alias("t"), F.col("node").alias("u"), "role", "key")
+    members = settle(found.join(named, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u"))).select("tree", "leaf", "branch", "depth", "role", "key"))
+    return _formatted(members, texts, **bounds)
 
-    return turns.mapInPandas(run, f"tree {kind}, leaf {node}, branch long, formatted string, spans array<struct<start: long, end: long>>")
 
+def format_trees(messages: DataFrame, branches: int | None = None, **bounds: int) -> DataFrame:
+    """(tree, leaf, branch, formatted, spans): each chosen path as one conversation.
 
-def conversations_as_trees(conversations: DataFrame) -> DataFrame:
-    """Chains of messages from rows (conv_id, turn, role, text): a row's parent is the row before it.
+    ``messages``: tree, node, parent, role, text, score. Null roles and texts are empty.
+    Of several rows with the same tree and node the smallest (parent, role, MD5 of the text) counts.
+    A conversation's turns come together in one row, as they have to; a tree of more than ``most_bytes`` of text or
+    ``most_rows`` rows on its paths isn't gathered. An empty table gives an empty result.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    nodes = settle(
+        messages.groupBy("tree", "node").agg(F.min(F.struct("parent", role.alias("role"), F.md5(text).alias("key"), "score")).alias("r"))
+        .select("tree", "node", "r.parent", "r.role", "r.key", "r.score")
+    )
+    return _of_trees(nodes, messages.select("tree", F.md5(text).alias("key"), text.alias("text")), branches, **bounds)
 
-    Rows are ordered by turn (null first), ties by role and text; all of them count. Null ids are one conversation.
+
+def format_conversations(conversations: DataFrame, **bounds: int) -> DataFrame:
+    """The same for rows (conv_id, turn, role, text), of which each answers the one before it: trees that are chains.
+
+    Rows are ordered by turn (null first), ties by role, by the text's first 32 characters and by its MD5; all of them
+    count, repeated ones too. Null ids are one conversation, null roles and texts are empty.
     """
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ranked = gapless_rank(rows, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], "node")
-    return ranked.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "text", F.lit(None).cast("double").alias("score"))
+    text = F.coalesce("text", F.lit(""))
+    rows = conversations.select(
+        F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.substring(text, 1, 32).alias("start"), F.md5(text).alias("key")
+    )
+    ranked = gapless_rank(rows, ["tree"], [F.col("turn"), F.col("role"), F.col("start"), F.col("key")], "node")
+    nodes = settle(ranked.select("tree", "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "key", F.lit(None).cast("double").alias("score")))
+    return _of_trees(nodes, conversations.select(F.col("conv_id").alias("tree"), F.md5(text).alias("key"), text.alias("text")), None, **bounds)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What a formatted conversation says when it is read back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for tree, text, spans in zip(pdf.tree, pdf.formatted, pdf.spans, strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = read_turns(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((tree, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                out.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            # the id never leaves Arrow, so a large one beside a null stays what it is
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("tree", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

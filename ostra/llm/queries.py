@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostra.llm.chat import conversations_as_trees, digest, format_trees
+from ostra.llm.chat import digest, format_conversations
 from ostra.llm.common import table
 from ostra.llm.decontam import contaminations
 from ostra.llm.language import identify
@@ -37,7 +37,7 @@ def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return digest(format_trees(conversations_as_trees(rows.unionByName(odd))))
+    return digest(format_conversations(rows.unionByName(odd)))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mixing, op2_sharding, op3_chat_trees, op4_toxicity, op5_decontamination, op6_token_counts, op7_simhash, op8_language, op9_top_k, op10_licenses)
 }
 
-ORACLES: dict[str, str] = {}
+#: Of the ten only the exact search can be written in SQL; the others are tested against brute force, round trips or held-out labels.
+ORACLES: dict[str, str] = {
+    "op9_top_k": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """
+}

@@ -2,9 +2,10 @@
 
 Vectors get one more component that makes all of them equally long; then the largest inner product
 is the smallest distance. Each vector is keyed by its nearest pivot and its distance to it; the
-rows, sorted by this key, are cut into blocks, each an annulus about its pivot. A query first
-scans its nearest annuli, which gives a bound for its k-th best; then it expands to those annuli
-only that the triangle inequality leaves: |d(q, p) - d(x, p)| <= d(q, x).
+rows, sorted by this key, are cut into blocks, each an annulus about its pivot, whose distances to
+all pivots are bounded. A query takes the blocks in the order of the least distance that the
+triangle inequality allows, |d(q, p) - d(x, p)| <= d(q, x) for every pivot p. It scans them in rounds, each
+twice as large as the one before, and stops at the first block that can't beat its k-th best score.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from ostra.session import settle
 
 SCALE, K, QUERY_EVERY = 1024, 10, 100
 #: Pivots, and the most rows on which they are fitted.
-PIVOTS, FIT_ROWS = 32, 4096
-#: The directory of annuli (24 bytes each) has so many entries at most: blocks grow with the table.
-MOST_BLOCKS, BLOCK = 1 << 16, 2048
-#: Queries in a block, and annuli that a block of queries scans first.
-QUERIES, SEEDS = 256, 2
+PIVOTS, FIT_ROWS = 64, 4096
+#: The directory of blocks (PIVOTS * 8 bytes each) has so many entries at most: blocks grow with the table.
+MOST_BLOCKS, BLOCK = 1 << 16, 256
+#: Queries in a block of queries, and blocks that a query scans in its first round.
+QUERIES, FIRST = 256, 4
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -86,126 +87,161 @@ def fit_pivots(sample: np.ndarray, square: float, pivots: int = PIVOTS, seed: in
     return p
 
 
-def pivot_top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int = BLOCK, seeds: int = SEEDS) -> DataFrame:
+def pivot_top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block: int = BLOCK, first: int = FIRST, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with vec_id divisible by ``every`` the ``k`` other rows of highest score.
 
     Score: inner product of floor(1024 * component); ties to the smaller vec_id. Rows whose vector
     or id is null, or that hold a null or non-finite component, take no part. Vectors of different
     lengths are filled up with 0. Rows of equal id aren't candidates of each other, and only the smallest of them is a query. Scores beyond a
-    long are cut to it. Fewer than k candidates: all of them.
+    long are cut to it. Fewer than k candidates: all of them. An empty table gives an empty result.
+
+    In a round the vectors move once, to join the queries that still need them; a query moves
+    once for each part (a task's share of the sorted rows) in which it has a block to scan, whatever
+    the number of blocks there. ``report``, if given, gets the rounds and the share of (query, block) pairs scanned.
     """
     spark = vectors.sparkSession
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.where("vec_id is not null and embedding is not null").where(finite).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double"))
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max(square).alias("square")).first()
+    whole = F.transform("embedding", lambda x: F.floor(x * SCALE).cast("double"))
+    square = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max(square).alias("square"), F.max(F.array_max(F.transform(whole, lambda x: F.abs(x)))).alias("most")).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not facts.n:
         return spark.createDataFrame([], result)
     dim, top = max(1, facts.dim), float(facts.square or 0)
+    kind = np.float32 if (facts.most or 0) < 1 << 24 else np.float64  # either holds the whole numbers exactly
     # the sample: the rows of smallest hash, so many at most
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
-    index = Index(fit_pivots(_matrix(sample, dim), top), top, dim)
+    index = Index(fit_pivots(_matrix(sample, dim), top, min(PIVOTS, max(1, round(facts.n**0.5)))), top, dim)
     block = max(block, -(-facts.n // MOST_BLOCKS))
 
+    def load(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, kind).reshape(-1, dim).astype(np.float64)
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             d = index.distances(x, False)
             near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))], names=["vec_id", "pivot", "dist", "x"])
+            raw = [r.tobytes() for r in x.astype(kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(x)), near]), pa.array(raw, pa.binary())], names=["vec_id", "pivot", "dist", "x"])
 
-    keyed = settle(rows.mapInArrow(key, "vec_id long, pivot int, dist double, x array<double>"))
+    keyed = settle(rows.mapInArrow(key, "vec_id long, pivot int, dist double, x binary"))
     at_pivot = ["pivot", "dist", "vec_id"]
 
     def pack(size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-
-            def out(ids, pivot, dist, x):
-                return pa.RecordBatch.from_pydict({"pivot": pa.array([int(pivot)], pa.int32()), "low": [float(dist.min())], "high": [float(dist.max())], "ids": [ids.tobytes()], "x": [x.tobytes()]})
+            def out(ids, x):
+                d = index.distances(x, False)
+                return pa.RecordBatch.from_pydict({"low": [d.min(axis=0).tobytes()], "high": [d.max(axis=0).tobytes()], "ids": [ids.tobytes()], "x": [x.astype(kind).tobytes()]})
 
+            ids, pivot, x = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, dim))
             for batch in batches:
-                ids, pivot, dist = (np.asarray(batch.column(c)) for c in range(3))
-                x = np.asarray(batch.column(3).flatten()).reshape(len(ids), dim)
-                if held:
-                    ids, pivot, dist, x = (np.concatenate(p) for p in zip(held[0], (ids, pivot, dist, x)))
-                    held = []
+                ids = np.r_[ids, np.asarray(batch.column(0))]
+                pivot = np.r_[pivot, np.asarray(batch.column(1))]
+                x = np.concatenate([x, load(b"".join(batch.column(3).to_pylist()))])
                 while len(ids):
                     n = min(size, int(np.searchsorted(pivot, pivot[0], "right")))
                     if n == len(ids) < size:
-                        held = [(ids, pivot, dist, x)]
-                        break
-                    yield out(ids[:n], pivot[0], dist[:n], x[:n])
-                    ids, pivot, dist, x = ids[n:], pivot[n:], dist[n:], x[n:]
-            if held:
-                yield out(held[0][0], held[0][1][0], held[0][2], held[0][3])
+                        break  # the next batch may go on with this block
+                    yield out(ids[:n], x[:n])
+                    ids, pivot, x = ids[n:], pivot[n:], x[n:]
+            if len(ids):
+                yield out(ids, x)
 
         return run
 
-    packed = "pivot int, low double, high double, ids binary, x binary"
+    packed = "low binary, high binary, ids binary, x binary"
     blocks = settle(keyed.repartitionByRange(*at_pivot).sortWithinPartitions(*at_pivot).mapInArrow(pack(block), packed).withColumn("block", F.monotonically_increasing_id()))
     # of several query rows with one id the smallest stays
     asking = keyed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("pivot", "dist", "x")).alias("r")).select("vec_id", "r.pivot", "r.dist", "r.x")
-    asked = settle(asking.repartitionByRange(*at_pivot).sortWithinPartitions(*at_pivot).mapInArrow(pack(QUERIES), packed).withColumn("ask", F.monotonically_increasing_id()))
-    directory = blocks.select("block", "pivot", "low", "high").toPandas()  # at most MOST_BLOCKS + pivots + partitions rows
-    if not len(directory):
+    asked = settle(asking.repartitionByRange(*at_pivot).sortWithinPartitions(*at_pivot).mapInArrow(pack(QUERIES), packed).select(F.monotonically_increasing_id().alias("ask"), "ids", "x"))
+    directory = blocks.select("block", "low", "high").orderBy("block").toArrow()  # MOST_BLOCKS + pivots + partitions rows at most
+    names = directory["block"].to_numpy()
+    if not len(names):
         return spark.createDataFrame([], result)
-    names, pivots, low, high = (directory[c].to_numpy() for c in ("block", "pivot", "low", "high"))
+    edges = [np.frombuffer(b"".join(directory[c].to_pylist()), np.float64).reshape(len(names), -1).astype(np.float32) for c in ("low", "high")]
+    shipped = spark.sparkContext.broadcast((np.ascontiguousarray(edges[0].T), np.ascontiguousarray(edges[1].T)))
+    # rounding of the edges to float32 and of the distances themselves
+    slack = 1e-5 * (float(np.abs(edges[1]).max()) + 1)
+    parts = names >> 33
 
     def bounds(x: np.ndarray) -> np.ndarray:
-        """Least possible distance from each query to each annulus."""
-        d = index.distances(x, True)[:, pivots]
-        return np.maximum(0, np.maximum(d - high[None], low[None] - d))
-
-    def load(raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, np.float64).reshape(-1, dim)
+        """Least possible distance from each query to each block."""
+        low, high = shipped.value
+        d, out = index.distances(x, True), np.zeros((len(x), len(names)), np.float32)
+        for p in range(d.shape[1]):
+            np.maximum(out, np.maximum(low[p][None] - d[:, p : p + 1], d[:, p : p + 1] - high[p][None]), out=out)
+        return out
+
+    def wanted(since: int, until: int):
+        """The requests of a round, a row for each block of queries and part: the queries that have blocks there
+        among their ``since``-th to ``until``-th nearest and within reach of their k-th score."""
+
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                for ids, raw, kth in zip(pdf.ids, pdf.x, pdf.kth, strict=True):
+                    own, x, known = np.frombuffer(ids, np.int64), load(raw), dict(kth) if kth is not None else {}
+                    least = np.array([-np.inf if known.get(int(i)) is None else float(known[int(i)]) for i in own])
+                    far = bounds(x)
+                    order = np.argsort(far, axis=1, kind="stable")[:, since:until]
+                    # a score s means the squared distance |q|^2 + square - 2 s
+                    reach = np.sqrt(np.maximum(0, (x * x).sum(axis=1) + top - 2 * least)) * (1 + 1e-9) + slack
+                    q, place = np.nonzero(np.take_along_axis(far, order, axis=1) <= reach[:, None])
+                    at = order[q, place]
+                    for part in np.unique(parts[at]).tolist():
+                        here = parts[at] == part
+                        some, number = np.unique(q[here], return_inverse=True)
+                        pairs = np.c_[names[at[here]], number]
+                        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                        yield pd.DataFrame(
+                            {"part": [part], "qids": [own[some].tobytes()], "q": [x[some].astype(kind).tobytes()], "least": [least[some].tobytes()], "pairs": [pairs.tobytes()], "wanted": [np.unique(pairs[:, 0]).tolist()], "n": [len(pairs)]}
+                        )
 
-    def seeds_of(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for ask, ids, raw in zip(pdf.ask, pdf.ids, pdf.x, strict=True):
-                x = load(raw)
-                first = np.argsort(bounds(x).mean(axis=0), kind="stable")[:seeds]
-                yield pd.DataFrame({"ask": ask, "block": names[first], "qids": ids, "q": raw})
+        return run
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            for ask, qids, q, ids, x in zip(pdf.ask, pdf.qids, pdf.q, pdf.ids, pdf.x, strict=True):
-                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                scores = _products(load(q), load(x))
-                found = [(int(i), int(ids[j]), int(row[j])) for i, row in zip(qids, scores, strict=True) for keep in [ids != i] for j in np.flatnonzero(keep)[_best(ids[keep], row[keep], k)]]
+            for name, qids, q, least, pairs, ids, x in zip(pdf.block, pdf.qids, pdf.q, pdf.least, pdf.pairs, pdf.ids, pdf.x, strict=True):
+                qids, ids, least, pairs = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(least, np.float64), np.frombuffer(pairs, np.int64).reshape(-1, 2)
+                mine = pairs[np.searchsorted(pairs[:, 0], name, "left") : np.searchsorted(pairs[:, 0], name, "right"), 1]
+                scores = _products(load(q)[mine], load(x))
+                found = []
+                for i, bar, row in zip(qids[mine].tolist(), least[mine], scores, strict=True):
+                    some = np.flatnonzero((ids != i) & (row >= bar))  # what is below the k-th so far can't be an answer
+                    found += [(i, int(ids[j]), int(row[j])) for j in some[_best(ids[some], row[some], k)]]
                 if found:
-                    yield pd.DataFrame({"ask": ask, "query_id": [f[0] for f in found], "vec_id": [f[1] for f in found], "score": [f[2] for f in found]})
-
-    pairs = "ask long, block long, qids binary, q binary"
-    answer = "ask long, query_id long, vec_id long, score long"
-    body = blocks.select("block", "ids", "x")
-    first = settle(asked.select("ask", "ids", "x").mapInPandas(seeds_of, pairs).join(body, "block").mapInPandas(scan, answer))
+                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     def best(df: DataFrame) -> DataFrame:
-        # a query's candidates: k from each annulus that it scanned
+        # a query's candidates: k at most from each block that it scanned
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
-    kth = first.groupBy("ask", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("ask", "query_id", F.expr(f"get(s, {k - 1})").alias("kth"))
-    known = kth.groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("kth"))
+    body = blocks.select((F.shiftright("block", 33)).alias("at"), "block", "ids", "x")
 
-    def rest_of(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for ask, ids, raw, kth in zip(pdf.ask, pdf.ids, pdf.x, pdf.kth, strict=True):
-                x, own = load(raw), np.frombuffer(ids, np.int64)
-                far = bounds(x)
-                done = np.argsort(far.mean(axis=0), kind="stable")[:seeds]
-                known = dict(kth or {})
-                least = np.array([-np.inf if known.get(int(i)) is None else known[int(i)] for i in own])
-                # a score s means the squared distance |q|^2 + square - 2 s; the slack is for rounding
-                reach = np.sqrt(np.maximum(0, (x * x).sum(axis=1) + top - 2 * least))
-                open_ = (far <= (reach * (1 + 1e-9) + 1e-6)[:, None]).any(axis=0)
-                open_[done] = False
-                nearest = np.argsort(far.min(axis=0), kind="stable")
-                left = names[nearest[open_[nearest]]]
-                if len(left):
-                    yield pd.DataFrame({"ask": ask, "block": left, "qids": ids, "q": raw})
-
-    second = asked.select("ask", "ids", "x").join(known, "ask", "left").mapInPandas(rest_of, pairs).join(body, "block").mapInPandas(scan, answer)
-    return best(first.unionByName(second)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ask, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_pydict({"ask": pa.array([ask] * len(own), pa.int64()), "query_id": pa.array(own)})
+
+    members = asked.select("ask", "ids").mapInArrow(listed, "ask long, query_id long")
+    known, answers, since, until, scanned = None, None, 0, first, []
+    while since < len(names):
+        asks = asked.withColumn("kth", F.lit(None).cast("map<long,long>")) if known is None else asked.join(known, "ask", "left")
+        requests = settle(asks.mapInPandas(wanted(since, until), "part long, qids binary, q binary, least binary, pairs binary, wanted array<long>, n long"))
+        size = requests.agg(F.sum("n")).first()[0]
+        if not size:
+            break
+        scanned.append(size)
+        pairs = body.join(requests, (F.col("at") == F.col("part")) & F.array_contains("wanted", F.col("block"))).select("block", "qids", "q", "least", "pairs", "ids", "x")
+        found = pairs.mapInPandas(scan, "query_id long, vec_id long, score long")
+        answers = settle(best(found if answers is None else answers.select("query_id", "vec_id", "score").unionByName(found)))
+        since, until = until, until * 2
+        if since < len(names):
+            kth = answers.where(F.col("rank") == k).select("query_id", "score")
+            known = kth.join(members, "query_id").groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("kth"))
+    if report is not None:
+        report |= {"rounds": len(scanned), "share": sum(scanned) / (len(names) * max(1, asking.count()))}
+    return spark.createDataFrame([], result) if answers is None else answers.select("query_id", "rank", "vec_id", "score")

@@ -2,7 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
-from ostra.llm.chat import END, START, conversations_as_trees, digest, escape, format_trees, format_turns, paths, read_turns, unescape
+from ostra.llm.chat import END, START, digest, escape, format_conversations, format_trees, format_turns, paths, read_turns, unescape
 from ostra.llm.queries import op3_chat_trees
 
 from tests_data import SMALL
@@ -51,8 +51,15 @@ def test_odd_conversations(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 1, "assistant", "lost"), (None, 0, "user", "id"), (2, 5, "assistant", "y" * 200_000), (2, 1, "system", ""), (3, 1, "user", "only")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(70)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, depth string")
-    assert got(digest(format_trees(conversations_as_trees(df)))) == expected(rows)
-    assert digest(format_trees(conversations_as_trees(df.limit(0)))).count() == 0
+    assert got(digest(format_conversations(df))) == expected(rows)
+    # 4 has more rows and 2 more bytes than the bounds: their paths are gathered apart from the other trees
+    assert got(digest(format_conversations(df, most_bytes=100_000, most_rows=60))) == expected(rows)
+    assert digest(format_conversations(df.limit(0))).count() == 0
+
+
+def test_large_ids_beside_null_ids(spark):
+    rows = [(9007199254740993, 0, "user", "a"), (None, 0, "user", "b"), (-9007199254740993, 1, "assistant", "c")]
+    assert got(digest(format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))) == expected(rows)
 
 
 TREE = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 2.0), ("t", 4, 2, 9.0), ("t", 5, 2, 1.0), ("t", 6, 99, 4.0), ("u", 1, 2, 1.0), ("u", 2, 1, 1.0), ("u", 3, None, None)]
@@ -67,3 +74,19 @@ def test_branches_by_score_and_cycles(spark):
     assert found == {("t", 0, 6): [6], ("t", 1, 4): [1, 2, 4], ("t", 2, 3): [1, 3], ("t", 3, 5): [1, 2, 5], ("u", 0, 3): [3]}
     best = {(r.tree, r.leaf) for r in paths(messages, branches=1).collect()}
     assert best == {("t", 6), ("u", 3)}
+
+
+def test_trees_are_formatted_branch_by_branch(spark):
+    rows = [(t, n, p, "assistant" if n % 2 else "user", f"{t}{n % 3} <|im_end|>", s) for t, n, p, s in TREE] + [("t", 1, None, "user", "another", 5.0), (None, 7, None, None, None, None)]
+    messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    kept = {(t, n): min((r[3] or "", hashlib.md5((r[4] or "").encode()).hexdigest(), r[4] or "") for r in rows if r[:2] == (t, n)) for t, n, *_ in rows}
+    wanted = {}
+    for r in paths(messages.select("tree", "node", "parent", "score").dropDuplicates(["tree", "node"])).orderBy("depth").collect():
+        role, _, text = kept[r.tree, r.node]
+        wanted.setdefault((r.tree, r.leaf), []).append((role, text))
+    for bounds in ({}, {"most_bytes": 3}, {"most_rows": 4}):
+        made = format_trees(messages, **bounds).collect()
+        assert len(made) == len(wanted) == 6
+        assert {(r.tree, r.leaf): read_turns(r.formatted) for r in made} == wanted
+        assert all(["".join(unescape(r.formatted[s.start : s.end])) for s in r.spans] == [t for role, t in wanted[r.tree, r.leaf] if role == "assistant"] for r in made)
+    assert {(r.tree, r.leaf) for r in format_trees(messages, branches=1).collect()} == {("t", 6), ("u", 3), (None, 7)}

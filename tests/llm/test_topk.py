@@ -43,3 +43,28 @@ def test_odd_vectors(spark):
     assert {r[0] for r in found} == {0, 100} and [r[2] for r in found if r[0] == 0] == [7, 8, 8, 1, 6, 100]
     assert [r[3] for r in found if r[0] == 100] == [0] * 6
     assert pivot_top_k(df.limit(0)).count() == 0 and pivot_top_k(df.where("vec_id = 0")).count() == 0
+
+
+def test_clustered_vectors_stop_early(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (40, 16))
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    report = {}
+    found = got(pivot_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100, block=32, report=report))
+    assert found == brute(rows, 100)
+    assert report["rounds"] > 1 and report["share"] < 0.5
+
+
+def test_unclustered_vectors_scan_what_they_must(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(0, 1, (1500, 24)))]
+    report = {}
+    assert got(pivot_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, block=16, report=report)) == brute(rows, 50)
+    assert report["share"] <= 1
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(k, [float(10**6 + k), float(-(10**6) - 3 * k), 0.5]) for k in range(40)]
+    assert got(pivot_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, block=8)) == brute(rows, 20)
