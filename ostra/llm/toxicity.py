@@ -21,22 +21,47 @@ from ostra.llm.common import text_bytes
 
 #: Labelled toxic and clean rows on which the model is fitted, those of smallest hash, and the bytes of their texts.
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1000, 7000, 40 << 20
-BUCKETS, DIM, WINDOW = 1 << 17, 8, 5
+BUCKETS, DIM, WINDOW = 1 << 18, 8, 2
 GRAMS = (3, 4, 5, 6)
-ROUNDS, RATE, SEED = 12, 0.05, 3
+ROUNDS, RATE, SEED = 12, 0.1, 3
 #: Words of one text, and of one step's texts, in the first rounds of training; a bound of the fit's memory only.
 LONG, STEP_WORDS = 4000, 12_000
 THRESHOLD = 0.3
 MEMO = 400_000
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Word characters, upper case as lower; ``@ $ *`` are ones as well, as they stand for letters in disguised words.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b in b"@$*" else 32 for b in range(256))
+#: What disguised spellings put for a letter.
+_LOOKS = {97: b"4@", 98: b"8", 101: b"3", 103: b"9", 105: b"1", 108: b"1", 111: b"0", 115: b"5$", 116: b"7"}
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Lower-case runs of letters, digits and non-ASCII characters."""
+    """Lower-case runs of letters, digits, non-ASCII characters and ``@ $ *``."""
     return text.translate(_LOWER).split()
 
 
+def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
+    """The word with one edit: a letter doubled, dropped, replaced, put for by one that looks alike, or two swapped."""
+    if len(word) < 4:
+        return word
+    w, at = bytearray(word), int(rng.integers(1, len(word) - 1))
+    edit = int(rng.integers(6))
+    if edit == 0:
+        w.insert(at, w[at])
+    elif edit == 1:
+        del w[at]
+    elif edit == 2:
+        w[at], w[at + 1] = w[at + 1], w[at]
+    elif edit == 3:
+        w[at] = int(rng.integers(97, 123))
+    elif edit == 4:
+        w.insert(at, int(rng.integers(97, 123)))
+    else:
+        looks = _LOOKS.get(w[at], b"*")
+        w[at] = looks[int(rng.integers(len(looks)))]
+    return bytes(w)
+
+
 def grams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word, word after word, and how many each word has (at least one).
 
@@ -65,12 +90,10 @@ def grams(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 
 
 class Model:
-    """Embeddings ``e``, softmax ``w`` and ``b``; scoring needs a number a bucket only, as both layers are linear."""
+    """What embeddings, softmax ``w`` and its bias ``b`` come to: a weight for each bucket, as both layers are linear."""
 
-    def __init__(self, e: np.ndarray, w: np.ndarray, b: np.ndarray, fitted: bool = True) -> None:
-        self.e, self.w, self.b, self.fitted = e, w, b, fitted
-        self.weight = (e @ (w[:, 1] - w[:, 0])).astype(np.float64)
-        self.bias = float(b[1] - b[0])
+    def __init__(self, weight: np.ndarray, bias: float, fitted: bool = True) -> None:
+        self.weight, self.bias, self.fitted = weight, bias, fitted
         self.memo: dict[bytes, int] = {}
         self.sums, self.counts = np.zeros(0), np.zeros(0)
 
@@ -104,7 +127,9 @@ class Model:
 def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds: int = ROUNDS, seed: int = SEED) -> Model:
     """Fit on whole texts: first on averages over texts, then on each text's worst window and random ones of clean texts.
 
-    ``texts`` is emptied while it is read, so that a driver holds them once. Small samples get more rounds.
+    Each window is learnt a second time with its words misspelt, clean ones too, so that spellings never
+    seen are told by what is left of the word. ``texts`` is emptied while it is read, so that a driver holds them once. Small
+    samples get more rounds.
     """
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -117,15 +142,16 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
     full = [k for k in range(len(docs)) if len(docs[k])]
     if len({int(y[k]) for k in full}) < 2:  # nothing to learn: the rate of the labels
         p = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros((1, DIM)), w, np.array([0.0, np.log(p / (1 - p))]), fitted=False)
+        return Model(np.zeros(1), float(np.log(p / (1 - p))), fitted=False)
     e = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
     bags, sizes, words = [], [], list(vocabulary)
+    known = len(words)
     for at in range(0, len(words), 1 << 14):
         g, n = grams(words[at : at + (1 << 14)], buckets)
         bags.append(g.astype(np.int32))
         sizes.append(n.astype(np.int32))
     flat, size = np.concatenate(bags), np.concatenate(sizes).astype(np.int64)
-    del words, vocabulary, bags, sizes
+    del vocabulary, bags, sizes
     start = np.r_[0, size.cumsum()]
     ge, gw, gb = np.full(buckets, 1e-3, np.float32), np.full_like(w, 1e-3), np.full_like(b, 1e-3)
 
@@ -158,6 +184,7 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
     rounds = max(rounds, min(6 * rounds, 40_000 // len(full)))
     whole = max(2, rounds // 6)
     for r in range(rounds):
+        flat, size, start = flat[: start[known]], size[:known], start[: known + 1]  # without the last round's spellings
         per_word = np.add.reduceat((e @ (w[:, 1] - w[:, 0]).astype(np.float32))[flat].astype(np.float64), start[:-1])
         spans, target = [], []
         for k in rng.permutation(full):
@@ -166,10 +193,11 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
             s, c = np.r_[0.0, per_word[d].cumsum()], np.r_[0, size[d].cumsum()]
             logit = (s[n:] - s[:-n]) / (c[n:] - c[:-n])
             best = int(logit.argmax())
-            if r < whole:  # whole texts; of a very long one the piece about its worst window
+            if r < whole:  # whole texts, in pieces; of a toxic one the piece about its worst window, as the others may be clean
                 first = max(0, min(best - LONG // 2, len(d) - LONG))
-                spans.append(d[first : first + LONG])
-                target.append(y[k])
+                pieces = [d[first : first + LONG]] if y[k] else [d[at : at + LONG] for at in range(0, len(d), LONG)]
+                spans += pieces
+                target += [y[k]] * len(pieces)
                 continue
             spans.append(d[best : best + n])
             target.append(y[k])
@@ -181,6 +209,17 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
                 at = int(rng.integers(len(logit)))
                 spans.append(d[at : at + n])
                 target += [0, 0, 0]
+        if r >= whole:  # as many windows again, misspelt
+            spelt: list[bytes] = []
+            for k in range(len(spans)):
+                spans.append(np.arange(len(spelt), len(spelt) + len(spans[k])) + known)
+                target.append(target[k])
+                spelt += [misspelt(words[i], rng) for i in spans[k].tolist()]
+            g, n = grams(spelt, buckets)
+            flat, size = np.r_[flat, g.astype(np.int32)], np.r_[size, n]
+            start = np.r_[0, size.cumsum()]
+            order = rng.permutation(len(spans))
+            spans, target = [spans[i] for i in order], [target[i] for i in order]
         t, at = np.array(target), 0
         while at < len(spans):  # a step's spans by number and by words
             end, some = at, 0
@@ -189,7 +228,7 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
                 end += 1
             step(spans[at:end], t[at:end], RATE * (4 if r < whole else 1))
             at = end
-    return Model(e, w, b)
+    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -236,7 +275,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def scorer(spark, model: Model):
     """A column function from texts to scores; null texts are scored as empty ones."""
-    shipped = spark.sparkContext.broadcast((model.e.astype(np.float32), model.w, model.b))  # fixed by BUCKETS and DIM
+    shipped = spark.sparkContext.broadcast((model.weight, model.bias))  # 2 MB, by BUCKETS
     made: list[Model] = []
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

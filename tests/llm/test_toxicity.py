@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from ostra.llm.queries import op4_toxicity
-from ostra.llm.toxicity import drop_toxic, fit, grams, score_toxicity, train
+from ostra.llm.toxicity import drop_toxic, fit, grams, misspelt, score_toxicity, train
 
 from tests_data import MIDDLE, documents
 
@@ -67,3 +67,22 @@ def test_nothing_learnt_drops_nothing(spark):
     for some in (labels.limit(0), labels.where("crc32(cast(doc_id as string)) % 4 = 2"), labels.selectExpr("doc_id", "1 as toxic")):
         assert {r.predicted for r in score_toxicity(docs, some).collect()} == {0}
         assert drop_toxic(docs, some).count() == 50
+
+
+def test_spellings_never_seen(spark):
+    rng = np.random.default_rng(1)
+    plain = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("ran", "sol", "dim", "pek", "vun") for c in ("", "er", "ing")]
+    bad = ["disgusting", "worthless", "idiot", "pathetic", "stupid"]
+    text = lambda n, extra: " ".join(rng.permutation([*rng.choice(plain, n), *extra])).encode()
+    y = np.array([int(k % 5 == 0) for k in range(800)])
+    model = train([text(60, list(rng.choice(bad, 3)) if v else []) for v in y], y)
+    spelt = lambda n: [misspelt(w.encode(), rng).decode() for w in rng.choice(bad, n)]
+    assert (model.score([text(60, spelt(3)) for _ in range(200)]) >= 0.3).mean() >= 0.9
+    assert (model.score([text(60, []) for _ in range(200)]) >= 0.3).mean() <= 0.05
+
+
+def test_a_giant_text_of_the_fit_is_learnt_in_pieces():
+    giant = b"calm lovely words " * 100_000
+    texts = [b"calm words here " * 9 + (b"disgusting" if k % 3 == 0 else b"pleasant") for k in range(120)]
+    model = train([giant, *texts], np.array([0, *(int(k % 3 == 0) for k in range(120))]))
+    assert model.score([b"words disgusting calm"])[0] > 0.3 > model.score([giant])[0]
