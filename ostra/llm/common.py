@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ostra.session import ship, spread
 
-#: Rows in an Arrow batch; a batch of texts stays far below a worker's memory.
-BATCH_ROWS = 512
+#: Rows in an Arrow batch of texts, and bytes, so that long texts come in smaller batches.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder, split for Python workers of modest memory."""
+    """A table of the given folder, split for Python workers of modest memory.
+
+    The session's bounds of Arrow batches are lowered to these two, never raised.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in _LIMITS.items():
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, nothing for null."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
-
-
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function to every Arrow batch of ``df``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = function(batch)
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)

@@ -24,7 +24,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible alignment score from which a document counts as contaminated.
 THRESHOLD = 0.5
 #: Bytes of item texts that are shipped to the tasks at once; more items are taken in blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
+#: Words of a text whose seeds are looked up together.
+PIECE = 1 << 16
 #: Alignments computed together, by number and by words; a stretch of seeds is split behind LONG words.
 TOGETHER, TOGETHER_WORDS, LONG = 128, 1 << 19, 1 << 12
 
@@ -37,7 +39,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Items:
-    """A block of items: their words as numbers, and their n-grams."""
+    """A block of items: their words as numbers, and their n-grams in sorted arrays, some 20 bytes a word."""
 
     def __init__(self, ids: list[int], texts: list[bytes]) -> None:
         self.vocabulary: dict[bytes, int] = {}
@@ -46,43 +48,53 @@ class Items:
             w = words_of(t)
             if w:
                 self.ids.append(i)
-                self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64))
+                self.words.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int32))
         self.base = len(self.vocabulary) + 1
+        self.length = np.array([len(w) for w in self.words], np.int64)
         # an item shorter than a seed is a seed as a whole, so there may be seeds of several lengths
-        self.lengths = sorted({min(GRAM, len(w)) for w in self.words})
-        self.of: dict[int, dict[int, list[tuple[int, int]]]] = {n: defaultdict(list) for n in self.lengths}
-        for k, w in enumerate(self.words):
-            n = min(GRAM, len(w))
-            for at, g in enumerate(self.keys(w, n).tolist()):
-                self.of[n][g].append((k, at))
-        self.sorted = {n: np.array(sorted(self.of[n]), np.int64) for n in self.lengths}
-
-    def keys(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """A number for each n-gram, exact for up to two million different words; -1 with a foreign word."""
+        self.seeds = {n: self._sorted([k for k in range(len(self.words)) if min(GRAM, len(self.words[k])) == n], n) for n in sorted({min(GRAM, len(w)) for w in self.words})}
+
+    def _sorted(self, some: list[int], n: int) -> tuple[np.ndarray, ...]:
+        """Different n-grams; where each one's items begin; and by n-gram the items, with its first and last place in them."""
+        keys = [self.keys(self.words[k], n)[0] for k in some]
+        key, item = np.concatenate(keys), np.repeat(np.array(some, np.int32), [len(k) for k in keys])
+        place = np.concatenate([np.arange(len(k), dtype=np.int32) for k in keys])
+        order = np.lexsort((place, item, key))
+        key, item, place = key[order], item[order], place[order]
+        at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (item[1:] != item[:-1])])
+        last = np.r_[at[1:], len(key)] - 1
+        first = np.flatnonzero(np.r_[True, np.diff(key[at]) != 0])
+        return key[at][first], np.r_[first, len(at)], item[at], place[at], place[last]
+
+    def keys(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each n-gram (two may share one only beyond two million words), and whether it has no foreign word."""
         m = len(ids) - n + 1
         if m <= 0:
-            return np.zeros(0, np.int64)
-        key, bad = np.zeros(m, np.int64), np.zeros(m, bool)
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        key, good = np.zeros(m, np.int64), np.ones(m, bool)
         for i in range(n):
             part = ids[i : m + i]
             key = key * self.base + part
-            bad |= part < 0
-        key[bad] = -1
-        return key
+            good &= part >= 0
+        return key, good
 
     def sequence(self, text: bytes) -> np.ndarray:
         words = words_of(text)
         get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-    def hits(self, ids: np.ndarray, n: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and keys of a sequence's n-grams that are ``among`` (sorted)."""
-        key = self.keys(ids, n)
-        at = np.flatnonzero(key >= 0)
-        if not len(at) or not len(among):
-            return at[:0], key[:0]
-        found = among[np.minimum(np.searchsorted(among, key[at]), len(among) - 1)] == key[at]
-        return at[found], key[at[found]]
+        return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+
+    def begins(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first, last): for each seed in a sequence and each item that has it, between which places the item would begin."""
+        different, start, item, low, high = self.seeds[n]
+        key, good = self.keys(ids, n)
+        at = np.flatnonzero(good)
+        which = np.minimum(np.searchsorted(different, key[at]), len(different) - 1)
+        found = different[which] == key[at]
+        at, which = at[found], which[found]
+        count = start[which + 1] - start[which]
+        flat = np.repeat(start[which] - np.r_[0, count.cumsum()[:-1]], count) + np.arange(count.sum())
+        at = np.repeat(at, count)
+        return item[flat].astype(np.int64), at - high[flat], at - low[flat]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -120,30 +132,37 @@ class Detector:
 
     def __init__(self, items: Items, threshold: float) -> None:
         self.items, self.threshold = items, threshold
+        self.slack = (MATCH * items.length * max(0.0, 1 - threshold) / -GAP).astype(np.int64) + 1
+
+    def _merged(self, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches of one item that are no further apart than its slack, joined."""
+        if not len(item):
+            return item, low, high
+        order = np.lexsort((low, item))
+        item, low, high = item[order], low[order], high[order]
+        wide = int(max(high.max(), 0) - min(low.min(), 0)) + 1
+        reached = np.maximum.accumulate(high + item * wide) - item * wide
+        new = np.r_[True, (item[1:] != item[:-1]) | (low[1:] > reached[:-1] + self.slack[item[1:]])]
+        at = np.flatnonzero(new)
+        return item[at], low[at], np.maximum.reduceat(high, at)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, word behind the last) of each stretch about seeds of the item.
 
         An alignment through a seed has no more gaps than its matches pay for above the threshold,
-        so each one that reaches it lies in its seed's stretch as a whole.
+        so each one that reaches it lies in its seed's stretch as a whole. Seeds are looked up piece by
+        piece and joined at once, so a text that repeats itself takes no more memory than another.
         """
-        spots: dict[int, list[int]] = defaultdict(list)
-        for n in self.items.lengths:
-            at, key = self.items.hits(ids, n, self.items.sorted[n])
-            for p, k in zip(at.tolist(), key.tolist(), strict=True):
-                for item, place in self.items.of[n][k]:
-                    spots[item].append(p - place)  # where the item would begin
+        found = [(np.zeros(0, np.int64),) * 3]
+        for n in self.items.seeds:
+            for at in range(0, max(1, len(ids) - n + 1), PIECE):
+                item, low, high = self._merged(*self.items.begins(ids[at : at + PIECE + n - 1], n))
+                found.append((item, low + at, high + at))
         out = []
-        for item, begins in spots.items():
-            length = len(self.items.words[item])
-            slack = int(MATCH * length * max(0.0, 1 - self.threshold) / -GAP) + 1
-            begins.sort()
-            first = last = begins[0]
-            for b in [*begins[1:], None]:
-                if b is None or b - last > slack or b - first > LONG:
-                    out.append((item, max(0, first - slack), min(len(ids), last + length + slack)))
-                    first = b
-                last = b
+        for item, low, high in zip(*(x.tolist() for x in self._merged(*(np.concatenate(x) for x in zip(*found, strict=True)))), strict=True):
+            slack, length = int(self.slack[item]), int(self.items.length[item])
+            for first in range(low, high + 1, LONG):
+                out.append((item, max(0, first - slack), min(len(ids), min(high, first + LONG - 1) + length + slack)))
         return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
@@ -159,9 +178,9 @@ class Detector:
                     marked[-1] = False
                     held.append(marked[of])
                     marked[some] = False
-                least = self.threshold * MATCH * len(own) - 1e-6
+                least = self.threshold * MATCH * len(own) - 1e-6  # both sides' bounds are exact: no alignment scores more
                 if most_score(held[0]) >= least and most_score(held[1]) >= least:
-                    jobs.append((k, item, start, part.astype(np.int32)))
+                    jobs.append((k, item, start, part))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         jobs.sort(key=lambda j: len(j[3]))
         at = 0
@@ -199,7 +218,8 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     ``score``: the alignment's score as a share of the item's best possible one, from ``threshold``.
     Whole texts are searched; a passage is aligned where it holds a seed of the item, of which items
     shorter than ``GRAM`` words have one, the whole. Null and empty texts hold nothing; repeated rows give repeated
-    results; items without words are never found. Texts are never shuffled.
+    results; items without words are never found; of equally good passages the one that ends first counts.
+    An empty table gives an empty result. Texts are never shuffled: the items go to them, in blocks of ``most`` bytes, of which each takes a pass.
     """
     spark = docs.sparkSession
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")

@@ -4,8 +4,8 @@ Vectors get one more component that makes all of them equally long; then the lar
 is the smallest distance. Each vector is keyed by its nearest pivot and its distance to it; the
 rows, sorted by this key, are cut into blocks, each an annulus about its pivot, whose distances to
 all pivots are bounded. A query takes the blocks in the order of the least distance that the
-triangle inequality allows, |d(q, p) - d(x, p)| <= d(q, x) for every pivot p. It scans them in rounds, each
-twice as large as the one before, and stops at the first block that can't beat its k-th best score.
+triangle inequality allows, |d(q, p) - d(x, p)| <= d(q, x) for every pivot p. It scans them in rounds of growing
+size and stops at the first block that can't beat its k-th best score.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ SCALE, K, QUERY_EVERY = 1024, 10, 100
 PIVOTS, FIT_ROWS = 64, 4096
 #: The directory of blocks (PIVOTS * 8 bytes each) has so many entries at most: blocks grow with the table.
 MOST_BLOCKS, BLOCK = 1 << 16, 256
-#: Queries in a block of queries, and blocks that a query scans in its first round.
-QUERIES, FIRST = 256, 4
+#: Queries in a block of queries, blocks that a query scans in its first round, and how much larger each further round is.
+QUERIES, FIRST, GROWTH = 256, 4, 8
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -192,26 +192,32 @@ def pivot_top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block:
                     for part in np.unique(parts[at]).tolist():
                         here = parts[at] == part
                         some, number = np.unique(q[here], return_inverse=True)
-                        pairs = np.c_[names[at[here]], number]
-                        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                        order_ = np.lexsort((number, at[here]))
+                        block_, number = at[here][order_], number[order_].astype(np.int32)
+                        cut = np.flatnonzero(np.r_[True, np.diff(block_) != 0])
                         yield pd.DataFrame(
-                            {"part": [part], "qids": [own[some].tobytes()], "q": [x[some].astype(kind).tobytes()], "least": [least[some].tobytes()], "pairs": [pairs.tobytes()], "wanted": [np.unique(pairs[:, 0]).tolist()], "n": [len(pairs)]}
+                            {
+                                "part": [part], "qids": [own[some].tobytes()], "q": [x[some].astype(kind).tobytes()], "least": [least[some].tobytes()],
+                                "wanted": [names[block_[cut]].tolist()], "askers": [[n.tobytes() for n in np.split(number, cut[1:])]], "n": [len(number)],
+                            }
                         )
 
         return run
 
     def scan(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            for name, qids, q, least, pairs, ids, x in zip(pdf.block, pdf.qids, pdf.q, pdf.least, pdf.pairs, pdf.ids, pdf.x, strict=True):
-                qids, ids, least, pairs = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(least, np.float64), np.frombuffer(pairs, np.int64).reshape(-1, 2)
-                mine = pairs[np.searchsorted(pairs[:, 0], name, "left") : np.searchsorted(pairs[:, 0], name, "right"), 1]
-                scores = _products(load(q)[mine], load(x))
-                found = []
-                for i, bar, row in zip(qids[mine].tolist(), least[mine], scores, strict=True):
-                    some = np.flatnonzero((ids != i) & (row >= bar))  # what is below the k-th so far can't be an answer
-                    found += [(i, int(ids[j]), int(row[j])) for j in some[_best(ids[some], row[some], k)]]
-                if found:
-                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            for qids, q, least, mine, ids, x in zip(pdf.qids, pdf.q, pdf.least, pdf.mine, pdf.ids, pdf.x, strict=True):
+                mine, ids = np.frombuffer(mine, np.int32), np.frombuffer(ids, np.int64)
+                qids, scores = np.frombuffer(qids, np.int64)[mine], _products(load(q)[mine], load(x))
+                # what is below the k-th so far can't be an answer
+                good = (ids[None] != qids[:, None]) & (scores >= np.frombuffer(least, np.float64)[mine][:, None])
+                for row in np.flatnonzero(good.sum(axis=1) > k):
+                    some = np.flatnonzero(good[row])
+                    good[row] = False
+                    good[row, some[_best(ids[some], scores[row, some], k)]] = True
+                r, c = np.nonzero(good)
+                if len(r):
+                    yield pd.DataFrame({"query_id": qids[r], "vec_id": ids[c], "score": scores[r, c]})
 
     def best(df: DataFrame) -> DataFrame:
         # a query's candidates: k at most from each block that it scanned
@@ -230,15 +236,15 @@ def pivot_top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block:
     known, answers, since, until, scanned = None, None, 0, first, []
     while since < len(names):
         asks = asked.withColumn("kth", F.lit(None).cast("map<long,long>")) if known is None else asked.join(known, "ask", "left")
-        requests = settle(asks.mapInPandas(wanted(since, until), "part long, qids binary, q binary, least binary, pairs binary, wanted array<long>, n long"))
+        requests = settle(asks.mapInPandas(wanted(since, until), "part long, qids binary, q binary, least binary, wanted array<long>, askers array<binary>, n long"))
         size = requests.agg(F.sum("n")).first()[0]
         if not size:
             break
         scanned.append(size)
-        pairs = body.join(requests, (F.col("at") == F.col("part")) & F.array_contains("wanted", F.col("block"))).select("block", "qids", "q", "least", "pairs", "ids", "x")
+        pairs = body.join(requests, (F.col("at") == F.col("part")) & F.array_contains("wanted", F.col("block"))).select("qids", "q", "least", F.element_at("askers", F.array_position("wanted", F.col("block")).cast("int")).alias("mine"), "ids", "x")
         found = pairs.mapInPandas(scan, "query_id long, vec_id long, score long")
         answers = settle(best(found if answers is None else answers.select("query_id", "vec_id", "score").unionByName(found)))
-        since, until = until, until * 2
+        since, until = until, until * GROWTH
         if since < len(names):
             kth = answers.where(F.col("rank") == k).select("query_id", "score")
             known = kth.join(members, "query_id").groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("kth"))

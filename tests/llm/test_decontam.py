@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from ostra.llm.decontam import GAP, MATCH, MISMATCH, THRESHOLD, Detector, Items, align, contaminations, drop_contaminated, words_of
@@ -125,3 +126,36 @@ def test_odd_rows_and_blocks(spark, nasty, empty):
         kept = drop_contaminated(nasty, items, most=most)
         assert kept.columns == nasty.columns and kept.count() == nasty.count() - 5
     assert contaminations(empty, items).count() == 0 and contaminations(nasty, items.limit(0)).count() == 0
+
+
+def test_recall_by_copies_and_edits():
+    """Of all passages that the whole table finds, by edit rate, in up to 50 copies that are edited alike or each for itself."""
+    rng = random.Random(8)
+    items = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(50)) for _ in range(6)]
+    detector = Detector(Items(list(range(6)), [t.encode() for t in items]), THRESHOLD)
+    plain = [f"w{k}" for k in range(900)] + [f"x{k}" for k in range(900)]
+    for rate in (0.0, 0.1, 0.2, 0.3):
+        texts = []
+        for k, t in enumerate(items):
+            same = edited(t.split(), rng, rate)
+            for n in range(50 if k < 2 else 10):
+                piece = same if k % 2 else edited(t.split(), rng, rate)
+                texts.append(" ".join([*rng.choices(plain, k=30), *(piece if n % 3 else piece[: len(piece) * 2 // 3]), *rng.choices(plain, k=30)]).encode())
+        wanted = {(k, i) for k, t in enumerate(texts) for i, item in enumerate(items) if smith_waterman_fast(words_of(item.encode()), words_of(t)) >= THRESHOLD * MATCH * 50}
+        found = {(k, i) for k, i, _, _ in detector.find(texts)}
+        assert found <= wanted and len(found) >= 0.95 * len(wanted) > 0, (rate, len(found), len(wanted))
+
+
+def smith_waterman_fast(a, b):
+    number = {}
+    x, y = (np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in (a, b))
+    return align([x], [y])[0][0]
+
+
+def test_texts_that_repeat_themselves():
+    item = " ".join(["one of the"] * 400)
+    detector = Detector(Items([1, 2], [item.encode(), b"one of the rare passages that stand in a test of twelve words"]), THRESHOLD)
+    began = time.process_time()
+    found = detector.find([b"one of the " * 100_000, b"of the one " * 100])
+    assert {(k, i) for k, i, _, _ in found} == {(0, 1)}
+    assert time.process_time() - began < 30

@@ -1,3 +1,4 @@
+import numpy as np
 import heapq
 import random
 import zlib
@@ -70,5 +71,23 @@ def test_odd_rows(spark, nasty, empty):
     assert shard(empty).count() == 0
 
 
-def test_schedule_of_nothing():
-    assert schedule([]) == []
+def test_schedule_in_pieces():
+    rng = np.random.default_rng(2)
+    sizes = rng.permutation(np.arange(1, 400))
+    counts = rng.choice([1, 1, 1, 2, 90], len(sizes))
+    whole = list(schedule(sizes, counts, 5))
+    pieces = list(schedule(sizes, counts, 5, piece=7))
+    assert len(whole) == 1 and len(pieces) == 57 and list(schedule(sizes[:0], counts[:0])) == []
+    for k in (0, 1):
+        assert (np.concatenate([p[k] for p in pieces]) == whole[0][k]).all()
+    loads, wanted = [0] * 5, []
+    for size, count in sorted(zip(sizes.tolist(), counts.tolist(), strict=True), reverse=True):
+        got = heap(loads, size, count)
+        loads = [x + g * size for x, g in zip(loads, got, strict=True)]
+        wanted.append(np.cumsum(got))
+    assert (whole[0][1] == np.array(wanted)).all()
+
+
+def test_a_plan_written_in_pieces_is_the_same(spark, nasty):
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(shard(nasty, piece=2)) == rows(shard(nasty))
