@@ -1,11 +1,15 @@
-"""A small interactive search: ``python -m ostra.cli INDEX``."""
+"""A small interactive search: ``python -m ostra.cli INDEX``; ``--build`` makes the index of a TSV corpus first."""
 
 from __future__ import annotations
 
-import sys
+import argparse
+import importlib
 
+from ostra.operators.index import build_index
 from ostra.operators.search import SearchEngine
 from ostra.session import local_session
+from ostra.sources.corpus import read_corpus
+from ostra.sources.store import load_model, read_raw_vectors
 
 
 class Shell:
@@ -17,10 +21,14 @@ class Shell:
     def command(self, line: str) -> str | None:
         """The answer to a command; None if the line is a query."""
         if line.startswith("mode:") and line[5:] in ("exact", "semantic", "combined"):
+            if line[5:] != "exact" and not self.engine.semantic:
+                return f"no {line[5:]} search without vectors and an embedder, mode {self.mode}"
             self.mode = line[5:]
             self.ltr = self.ltr or self.mode == "combined"  # a combined list has no order but the re-ranked one
             return f"mode {self.mode}"
         if line == "enable:ltr":
+            if self.engine.model is None:
+                return "no model to re-rank by"
             self.ltr = True
             return "re-ranking on"
         if line == "disable:ltr":
@@ -48,5 +56,30 @@ class Shell:
                 self.search(line).select("rank", "doc_id", "score", "source", "title", "snippet").show(truncate=80)
 
 
+def main(arguments: list[str] | None = None) -> None:
+    p = argparse.ArgumentParser(prog="ostra", description=__doc__)
+    p.add_argument("index", help="folder of the index")
+    p.add_argument("--build", metavar="TSV", help="index this corpus (docid, url, title, body) first; .gz is read as well")
+    p.add_argument("--stem", action="store_true", help="stem the words of a new index")
+    p.add_argument("--documents", type=int, help="index the first so many documents only")
+    p.add_argument("--vectors", help="raw float32 vectors of the documents, or a Parquet table (vec_id, embedding)")
+    p.add_argument("--dim", type=int, default=64, help="their dimension")
+    p.add_argument("--embedder", metavar="MODULE:FUNCTION", help="a function from a query's text to its vector")
+    p.add_argument("--model", help="path of a saved re-ranker, without .npz")
+    a = p.parse_args(arguments)
+    spark = local_session()
+    if a.build:
+        build_index(read_corpus(spark, a.build), a.index, a.stem, a.documents)
+    vectors = embed = None
+    if a.vectors:
+        vectors = spark.read.parquet(a.vectors) if a.vectors.endswith(".parquet") else read_raw_vectors(spark, a.vectors, a.dim)
+    if a.embedder:
+        module, _, function = a.embedder.partition(":")
+        embed = getattr(importlib.import_module(module), function)
+    engine = SearchEngine(spark, a.index, vectors, embed, load_model(a.model) if a.model else None)
+    engine.cache()
+    Shell(engine).run()
+
+
 if __name__ == "__main__":
-    Shell(SearchEngine(local_session(), sys.argv[1])).run()
+    main()

@@ -45,15 +45,18 @@ def postprocess_embedding(pooled: np.ndarray, dim: int | None = DIM, blank: np.n
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, and not again for each element that it is combined with."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise_column(pooled: Column, dim: int = DIM) -> Column:
     """The same in native expressions on an array column."""
     n = F.size(pooled)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    mean = total(pooled) / n
-    variance = total(F.transform(pooled, lambda x: (x - mean) * (x - mean))) / n
-    cut = F.slice(F.transform(pooled, lambda x: (x - mean) / F.sqrt(variance + EPS)), 1, dim)
-    norm = F.greatest(F.sqrt(total(F.transform(cut, lambda x: x * x))), F.lit(1e-12))
-    return F.transform(cut, lambda x: x / norm)
+    centred = _let(total(pooled) / n, lambda mean: F.transform(pooled, lambda x: x - mean))
+    scaled = _let(centred, lambda c: _let(F.sqrt(total(F.transform(c, lambda x: x * x)) / n + EPS), lambda deviation: F.slice(F.transform(c, lambda x: x / deviation), 1, dim)))
+    return _let(scaled, lambda s: _let(F.greatest(F.sqrt(total(F.transform(s, lambda x: x * x))), F.lit(1e-12)), lambda norm: F.transform(s, lambda x: x / norm)))
 
 
 def embed_documents(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], kind: str = "document", dim: int = DIM, batch: int = 265) -> DataFrame:

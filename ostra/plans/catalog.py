@@ -9,20 +9,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostra.functions.analysis import plain_tokens, token_positions, tokenized_documents
 from ostra.operators import index as ix
-from ostra.operators import ltr, ltr_dataset, metrics, postings, spelling
+from ostra.operators import ltr_dataset, metrics, postings, spelling
 from ostra.operators.features import FEATURES, features, on_the_fly_bm25
-from ostra.operators.search import SearchEngine, fetch, hybrid, snippet, top_k
+from ostra.operators.search import characters_before, fetch, first_places, hybrid, snippet, top_k
 from ostra.operators.vector import dot, gather
 from ostra.plans.boolean import evaluate
 from ostra.plans.query_language import parse_query
-from ostra.session import checkpoint_dir, ship, spread
-from ostra.sources.corpus import documents_corpus, pages_corpus
+from ostra.session import checkpoint_dir, settle, ship, spread
+from ostra.sources.corpus import TAG, UNSEEN, documents_corpus, pages_corpus
 from ostra.sources.store import concat_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +73,9 @@ _TOK = f"""{_DOCS},
 fld AS (SELECT doc_id, 0 AS field, regexp_extract_all({_LOW.format('title')}, '[a-z0-9]+|[^a-z0-9]+') AS segs FROM docs
   UNION ALL SELECT doc_id, 1, regexp_extract_all({_LOW.format('body')}, '[a-z0-9]+|[^a-z0-9]+') FROM docs),
 seg AS (SELECT doc_id, field, unnest(segs) AS token, generate_subscripts(segs, 1) AS ord, len(segs) AS n FROM fld),
-pos AS (SELECT *, coalesce(sum(strlen(token)) OVER (PARTITION BY doc_id, field ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS position FROM seg),
-raw AS (SELECT doc_id, field, token, position FROM pos WHERE regexp_full_match(token, '[a-z]{{1,50}}|[0-9]{{1,4}}') OR (ord = n AND regexp_matches(token, '^[a-z0-9]'))),
+pos AS (SELECT *, coalesce(sum(strlen(token)) OVER (PARTITION BY doc_id, field ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS position,
+  coalesce(sum(length(token)) OVER (PARTITION BY doc_id, field ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS place FROM seg),
+raw AS (SELECT doc_id, field, token, position, place FROM pos WHERE regexp_full_match(token, '[a-z]{{1,50}}|[0-9]{{1,4}}') OR (ord = n AND regexp_matches(token, '^[a-z0-9]'))),
 tok AS (SELECT * FROM raw WHERE token NOT IN ({_STOP}))"""
 _POST = f"""{_TOK},
 lens AS (SELECT d.doc_id, count(t.token) FILTER (field = 0) AS len_title, count(t.token) FILTER (field = 1) AS len_body FROM docs d LEFT JOIN tok t USING (doc_id) GROUP BY 1),
@@ -94,6 +94,19 @@ def _wide(*tokens: str) -> str:
     return f"{_POST}, wide AS (SELECT doc_id, {cols} FROM tr WHERE token IN ({','.join(repr(t) for t in tokens)}) GROUP BY 1)"
 
 
+def _snippets(best: str, at: str, columns: str) -> str:
+    """The rows of ``best`` with the snippet about the character ``p`` of ``at``, in steps that cut the window to whole words."""
+    return f"""p AS (SELECT b.*, url, title, body, length(body) AS n, greatest(coalesce(a.p, 1), 1) AS p FROM {best} b JOIN docs USING (doc_id) LEFT JOIN {at} a USING (doc_id)),
+s AS (SELECT *, CASE WHEN p >= 100 THEN p - 100 ELSE 1 END AS s0 FROM p), e AS (SELECT *, CASE WHEN s0 + 200 < n THEN s0 + 200 ELSE n END AS e0 FROM s),
+f AS (SELECT *, instr(substr(body, s0 + 1, greatest(e0 - s0, 0)), ' ') AS sp FROM e), g AS (SELECT *, CASE WHEN s0 <> 0 AND sp > 0 THEN s0 + sp ELSE s0 END AS s1 FROM f),
+h AS (SELECT *, substr(body, s1 + 2, greatest(e0 - s1, 0)) AS tail FROM g), k AS (SELECT *, CASE WHEN e0 <> n AND instr(reverse(tail), ' ') > 0 THEN s1 + 1 + length(tail) - instr(reverse(tail), ' ') ELSE e0 END AS e1 FROM h)
+SELECT {columns}, substr(body, s1 + 1, greatest(e1 - s1, 0)) AS snippet FROM k"""
+
+
+def _first_place(*tokens: str) -> str:
+    return f"spot AS (SELECT doc_id, min(place) AS p FROM tok WHERE field = 1 AND token IN ({','.join(repr(t) for t in tokens)}) GROUP BY 1)"
+
+
 def _near(a: str, b: str) -> str:
     return f"EXISTS (SELECT 1 FROM (SELECT unnest(p_{a}) AS x), (SELECT unnest(p_{b}) AS y) WHERE y - x BETWEEN 0 AND 10)"
 
@@ -113,8 +126,8 @@ def document_lookup(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT page_id AS doc_id, url, regexp_extract(html, '<title>(.*?)</title>', 1, 'is') AS title,
-  regexp_replace(regexp_replace(html, '<title>.*?</title>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS b FROM pages)
+    f"""WITH p AS (SELECT page_id AS doc_id, url, regexp_extract(html, '<title>(.*?)(?:</title>|\\z)', 1, 'is') AS title,
+  regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'gis'), '{TAG}', ' ', 'gs') AS b FROM pages)
 SELECT doc_id, url, title, md5(trim(regexp_replace(b, '[ \\t\\r\\n]+', ' ', 'g'))) AS body_md5 FROM p"""
 )
 def pages_as_corpus(spark, sf_dir):
@@ -181,7 +194,7 @@ def collection_statistics(spark, sf_dir):
 
 @query(f"WITH {_POST} SELECT token, doc_id, round(score, 6) AS score, tier FROM tr")
 def bm25f_scores_and_tiers(spark, sf_dir):
-    t = tokenized_documents(corpus(spark, sf_dir)).persist()
+    t = settle(tokenized_documents(corpus(spark, sf_dir)))
     p = ix.explode_terms(t)
     return ix.score_postings(p, ix.vocabulary(p), ix.doc_stats(t)).select("token", "doc_id", r6(F.col("score"), "score"), "tier")
 
@@ -275,21 +288,18 @@ def exact_topk(spark, sf_dir):
     return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
 
 
-@query(f"WITH {_POST} SELECT doc_id, round(sum(score), 6) AS score FROM tr WHERE token IN ('er', 're') AND tier <= 4 GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 10")
+@query(f"WITH {_POST} SELECT doc_id, round(sum(score), 6) AS score FROM tr WHERE token IN ('ci', 'los') AND tier <= 4 GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, doc_id LIMIT 10")
 def tier_pruned_topk(spark, sf_dir):
-    return top_k(_matches(spark, sf_dir, "er and re", max_tier=4), 10)
+    return top_k(_matches(spark, sf_dir, "ci and los", max_tier=4), 10)
 
 
-@query(f"""WITH {_EXACT}, p AS (SELECT b.doc_id, b.score, url, title, body, length(body) AS n, greatest(list_min([x for x in [p_er[1], p_re[1], p_was[1]] if x IS NOT NULL]), 1) AS p FROM best b JOIN docs USING (doc_id)),
-s AS (SELECT *, CASE WHEN p >= 100 THEN p - 100 ELSE 1 END AS s0 FROM p), e AS (SELECT *, CASE WHEN s0 + 200 < n THEN s0 + 200 ELSE n END AS e0 FROM s),
-f AS (SELECT *, instr(substr(body, s0 + 1, greatest(e0 - s0, 0)), ' ') AS sp FROM e), g AS (SELECT *, CASE WHEN s0 <> 0 AND sp > 0 THEN s0 + sp ELSE s0 END AS s1 FROM f),
-h AS (SELECT *, substr(body, s1 + 2, greatest(e0 - s1, 0)) AS tail FROM g), k AS (SELECT *, CASE WHEN e0 <> n AND instr(reverse(tail), ' ') > 0 THEN s1 + 1 + length(tail) - instr(reverse(tail), ' ') ELSE e0 END AS e1 FROM h)
-SELECT doc_id, score, url, title, substr(body, s1 + 1, greatest(e1 - s1, 0)) AS snippet FROM k""")
+@query(f"WITH {_EXACT}, {_first_place('er', 're', 'was')}, {_snippets('best', 'spot', 'doc_id, score, url, title')}")
 def documents_with_snippets(spark, sf_dir):
     i = index(spark, sf_dir)
     best = top_k(_matches(spark, sf_dir, "er re or was"), 10)
-    at = i.postings.where(F.col("token").isin("er", "re", "was")).join(F.broadcast(best.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.element_at("positions", 1)).alias("at"))
-    return fetch(i.docs, best).join(at, "doc_id").select("doc_id", "score", "url", "title", snippet(F.col("body"), F.col("at")).alias("snippet"))
+    at = first_places(i.postings, parse_query("er re or was", stem=False), best)
+    shown = snippet(F.col("body"), characters_before(F.col("body"), F.col("at")))
+    return fetch(i.docs, best).join(at, "doc_id", "left").select("doc_id", "score", "url", "title", shown.alias("snippet"))
 
 
 # --- vectors and hybrid ------------------------------------------------------------------------------
@@ -355,10 +365,12 @@ def feature_mean_std(spark, sf_dir):
     return ltr_dataset.feature_stats(_features(spark, sf_dir), FEATURES).select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
-# the retrieval log: benchmark items ask, documents with the item's first words answer; ranks by id
-_LTR = """qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), mp AS (SELECT 'D' || doc_id AS doc_id, doc_id AS our_id FROM documents),
-qr AS (SELECT query_id, 'D' || (query_id * 3 % 200) AS doc_id FROM qs),
-tp AS (SELECT q.query_id, 'D' || ((q.query_id * 7 + r * 11) % 200) AS doc_id, r::INT AS rank FROM qs q CROSS JOIN generate_series(1, 100) t(r)),
+# the retrieval log: benchmark items ask for documents of the whole table; some documents have an external id of another
+# form, and the candidates come again from rank 61 on
+_LTR = """qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), nd AS (SELECT count(*) AS nd FROM documents),
+mp AS (SELECT 'D' || doc_id AS doc_id, doc_id AS our_id FROM documents WHERE source <> 'src1'),
+qr AS (SELECT query_id, 'D' || (query_id * 37 % nd) AS doc_id FROM qs CROSS JOIN nd),
+tp AS (SELECT q.query_id, 'D' || ((q.query_id * 37 + (r % 60) * 11 - 22) % nd) AS doc_id, r::INT AS rank FROM qs q CROSS JOIN nd CROSS JOIN generate_series(2, 100) t(r)),
 po AS (SELECT query_id, query_text, doc_id, our_id, 1 AS rank FROM qs JOIN qr USING (query_id) JOIN mp USING (doc_id)),
 ca AS (SELECT query_id, query_text, doc_id, our_id, rank FROM tp JOIN mp USING (doc_id) JOIN qs USING (query_id) WHERE rank <= 75 AND (query_id, our_id) NOT IN (SELECT (query_id, our_id) FROM po)),
 al AS (SELECT *, 0 AS f FROM po UNION ALL SELECT *, 1 FROM ca), rk AS (SELECT query_id, our_id, query_text, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, f, our_id)::INT AS rank FROM al),
@@ -366,14 +378,18 @@ ids AS (SELECT * FROM rk WHERE rank <= 50)"""
 
 
 def _log(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    mapping = ltr_dataset.build_id_mapping(table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), F.col("doc_id")).alias("external_id"), "doc_id"))
-    qrels = queries.select("query_id", F.concat(F.lit("D"), F.col("query_id") * 3 % 200).alias("doc_id"))
-    top = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("rank")).select("query_id", F.concat(F.lit("D"), (F.col("query_id") * 7 + F.col("rank") * 11) % 200).alias("doc_id"), "rank")
+    external = F.concat(F.when(F.col("source") == "src1", "X").otherwise("D"), F.col("doc_id"))
+    mapping = ltr_dataset.build_id_mapping(docs.select(external.alias("external_id"), "doc_id"))
+    qrels = queries.select("query_id", F.concat(F.lit("D"), F.col("query_id") * 37 % n).alias("doc_id"))
+    ranked = queries.select("query_id", F.explode(F.sequence(F.lit(2), F.lit(100))).alias("rank"))
+    top = ranked.select("query_id", F.concat(F.lit("D"), (F.col("query_id") * 37 + F.col("rank") % 60 * 11 - 22) % n).alias("doc_id"), "rank")
     return queries, qrels, top, mapping
 
 
-@query("WITH m AS (SELECT 'D' || doc_id AS doc_id, doc_id AS our_id FROM documents) SELECT * FROM m WHERE regexp_full_match(doc_id, 'D[0-9]+')")
+@query("WITH m AS (SELECT CASE WHEN source = 'src1' THEN 'X' ELSE 'D' END || doc_id AS doc_id, doc_id AS our_id FROM documents) SELECT * FROM m WHERE regexp_full_match(doc_id, 'D[0-9]+')")
 def ltr_id_mapping(spark, sf_dir):
     return _log(spark, sf_dir)[3]
 
@@ -466,37 +482,5 @@ def spelling_top(spark, sf_dir):
     return found.select("word", "suggestion", "df", r6(F.col("jaccard"), "jaccard"))
 
 
-# --- without an oracle: stems and trained models ------------------------------------------------------
-@query()
-def stemmed_postings(spark, sf_dir):
-    return ix.vocabulary(ix.document_postings(corpus(spark, sf_dir), stem=True))
-
-
-@query()
-def stemmed_exact_search(spark, sf_dir):
-    i = index(spark, sf_dir, stem=True)
-    return SearchEngine(spark, i.path).exact_search("er re or was").drop("body")
-
-
-def _model() -> ltr.ListNet:
-    return ltr.ListNet(len(FEATURES), 0.1, np.zeros(len(FEATURES)), np.full(len(FEATURES), 10.0), hidden=64, seed=1)
-
-
-@query()
-def ltr_rerank(spark, sf_dir):
-    return ltr.score(_features(spark, sf_dir), _model()).select("query_id", "doc_id", r6(F.col("prediction"), "prediction"))
-
-
-@query()
-def combined_search(spark, sf_dir):
-    i, vectors = index(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    engine = SearchEngine(spark, i.path, vectors.where("vec_id <> 7"))
-    return engine.combined_search("er re or was", vector=[float(x) for x in vectors.where("vec_id = 7").first().embedding]).drop("body")
-
-
-@query()
-def semantic_search(spark, sf_dir):
-    i, vectors = index(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    engine = SearchEngine(spark, i.path, vectors.where("vec_id <> 7"))
-    return engine.semantic_search("er re or was", vector=[float(x) for x in vectors.where("vec_id = 7").first().embedding]).drop("body")
-
+# further queries, which build on this module's helpers
+from ostra.plans import catalog_search, catalog_sources  # noqa: E402, F401

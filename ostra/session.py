@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a test on one
-    machine) a folder of our own is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset on one machine (a test) a
+    folder of our own is made and set. On a cluster without it there is no folder to fall back to: an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="ostra-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

@@ -45,11 +45,20 @@ def documents_corpus(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Elements that aren't text; one that isn't closed reaches to the end, so no place is tried twice.
+UNSEEN = r"<title>.*?(?:</title>|\z)|<script[^>]*(?:>.*?(?:</script>|\z)|\z)|<style[^>]*(?:>.*?(?:</style>|\z)|\z)|<!--.*?(?:-->|\z)"
+#: A tag, from its last opening sign.
+TAG = r"<[^<>]*>"
+
+
 def pages_corpus(pages: DataFrame) -> DataFrame:
-    """The ``pages`` table as a corpus: title from its element, body from the page without markup."""
+    """The ``pages`` table as a corpus: title from its element, body from the page without markup.
+
+    The expressions take time in proportion to a page, whatever its markup.
+    """
     html = F.coalesce("html", F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<title>.*?</title>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    return pages.select(F.col("page_id").alias("doc_id"), "url", F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1).alias("title"), F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")).alias("body"))
+    bare = F.regexp_replace(F.regexp_replace(html, f"(?is){UNSEEN}", " "), TAG, " ")
+    return pages.select(F.col("page_id").alias("doc_id"), "url", F.regexp_extract(html, r"(?is)<title>(.*?)(?:</title>|\z)", 1).alias("title"), F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")).alias("body"))
 
 
 def embedding_texts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -72,3 +81,6 @@ def append_new(stored: DataFrame, incoming: DataFrame, key: str = "doc_id") -> D
     return incoming.join(stored.select(key), key, "left_anti")
 
 
+def as_dicts(rows: DataFrame) -> list[dict]:
+    """A few documents, as ``get_documents`` returns them, as dictionaries by id, url, title and body."""
+    return [{"id": r.doc_id, "url": r.url, "title": r.title, "body": r.body} for r in rows.orderBy("doc_id").toLocalIterator()]

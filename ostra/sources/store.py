@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ostra.operators.ranks import gapless_rank
+
+#: Vectors in a raw file: 64 MB at 64 dimensions.
+RAW_ROWS = 1 << 18
+
 
 class KeyedStore:
     """(id, payload, data) by dense ids from 0, appended in parts; a part is committed as a whole or not at all."""
@@ -73,20 +81,50 @@ def concat_parts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("id").agg(ordered.alias("p")).select("id", F.element_at("p.payload", -1).alias("payload"), F.array_join("p.data", "").alias("data"))
 
 
-def write_raw_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors by id as raw little-endian float32 rows in one local file, a partition at a time."""
-    with open(path, "wb") as f:
-        for row in vectors.orderBy("vec_id").select("embedding").toLocalIterator():
-            f.write(np.asarray(row.embedding, "<f4").tobytes())
+def write_raw_vectors(vectors: DataFrame, path: str, most: int = RAW_ROWS) -> int:
+    """Vectors by id as raw little-endian float32 rows, in a new folder that all executors share; returns how many.
+
+    Each task writes its stretch of the sorted rows, in files of at most ``most`` rows, each named by the number of its first
+    row. A file gets its name only when it is whole, so a task that runs twice does no harm.
+    """
+    root = path.removeprefix("file://")
+    Path(root).mkdir(parents=True)
+    numbered = gapless_rank(vectors.select("vec_id", "embedding").withColumn("_all", F.lit(0)), ["_all"], [F.col("vec_id")], "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r, v) for b in batches for r, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        written, open_, first, last = 0, None, 0, 0
+        for row, vector in rows:
+            if open_ is None or row != last + 1 or row - first >= most:
+                if open_ is not None:
+                    open_.close()
+                    os.replace(open_.name, f"{root}/{first:018d}.f32")
+                first, open_ = row, open(f"{root}/.{row}-{uuid.uuid4().hex}", "wb")
+            open_.write(np.asarray(vector, "<f4").tobytes())
+            last, written = row, written + 1
+        if open_ is not None:
+            open_.close()
+            os.replace(open_.name, f"{root}/{first:018d}.f32")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+
+    done = numbered.select("row", "embedding").repartitionByRange("row").sortWithinPartitions("row").mapInArrow(run, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_raw_vectors(spark: SparkSession, path: str, dim: int = 64) -> DataFrame:
-    """(vec_id, embedding) of such files: fixed-size records, split by Spark, numbered by their place."""
-    sc = spark.sparkContext
-    sc._jsc.hadoopConfiguration().setInt("fixedlengthinputformat.record.length", 4 * dim)
-    records = sc.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable")
-    rows = records.map(lambda kv: (kv[0] // (4 * dim), np.frombuffer(bytes(kv[1]), "<f4").tolist()))
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    """(vec_id, embedding) of such a folder, or of one such file; rows are numbered by their place."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!.]*").load(path)
+    number = F.coalesce(F.regexp_extract("path", r"/(\d{18})\.f32$", 1).try_cast("long"), F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flat = np.frombuffer(raw, "<f4")
+                n = len(flat) // dim
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(flat[: n * dim]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), vectors], names=["vec_id", "embedding"])
+
+    return files.select(number.alias("first"), "content").mapInArrow(run, "vec_id long, embedding array<float>")
 
 
 LTR_FILES = {
@@ -103,8 +141,14 @@ def read_ltr(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", sep).option("quote", "" if kind == "queries" else '"').csv(path)
 
 
+def write_ltr(df: DataFrame, kind: str, path: str) -> None:
+    """One of these files: the columns of ``df`` in the order of its schema, without a header."""
+    plain = df.write.mode("overwrite").option("sep", LTR_FILES[kind][0]).option("quote", "" if kind == "queries" else '"')
+    plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("header", header).csv(path)
+    df.write.mode("overwrite").option("header", header).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def save_model(model, path: str, **config) -> None:
@@ -120,7 +164,3 @@ def load_model(path: str):
     model = ListNet(config["in_features"], config["dropout"], config["means"], config["stds"], config.get("hidden", 512))
     model.set_weights(dict(np.load(f"{path}.npz")))
     return model
-
-
-def scratch(base: str, name: str) -> str:
-    return f"{base}/{name}-{uuid.uuid4().hex}"

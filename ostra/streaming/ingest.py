@@ -12,8 +12,8 @@ from ostra.functions.analysis import tokenized_documents
 from ostra.operators.index import doc_stats, explode_terms, score_postings, vocabulary
 
 
-def ingest(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, to_corpus, stem: bool = False):
-    """Start a query over the Parquet files of ``source`` that ends when all present files are read.
+def ingest(spark: SparkSession, source: str, schema, path: str, checkpoint: str, to_corpus, stem: bool = False, only: str = "*"):
+    """Start a query over the Parquet files of the folder ``source`` with names like ``only`` that ends when all present files are read.
 
     Files are read once, by the stream's checkpoint; a batch that is repeated after a failure
     overwrites its own folder, so nothing is doubled. ``to_corpus`` maps rows to (doc_id, url, title, body).
@@ -24,7 +24,7 @@ def ingest(spark: SparkSession, source: str, schema: str, path: str, checkpoint:
         docs.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
         tokenized_documents(docs, stem).write.mode("overwrite").parquet(f"{path}/forward/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", only).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

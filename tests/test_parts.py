@@ -44,7 +44,7 @@ def test_tsv_corpus(spark, tmp_path):
 
 def test_raw_vectors_and_ltr_files(spark, tmp_path):
     rows = [(i, [float(i), i + 0.5]) for i in range(50)]
-    store.write_raw_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), f"{tmp_path}/v.npy")
+    store.write_raw_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), f"{tmp_path}/v.npy", most=2)
     assert sorted((r.vec_id, list(r.embedding)) for r in store.read_raw_vectors(spark, f"{tmp_path}/v.npy", 2).collect()) == rows
     (tmp_path / "q.tsv").write_text('7\twho "is" it\n')
     assert store.read_ltr(spark, "queries", f"{tmp_path}/q.tsv").first().query_text == 'who "is" it'

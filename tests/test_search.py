@@ -122,3 +122,47 @@ def test_explain_and_shell(engine):
     assert shell.command("cat") is None and shell.command("mode:combined") and shell.ltr
     assert "exact" in shell.command("disable:ltr") and shell.mode == "exact"
     assert shell.search("cat").count() > 0
+
+
+def test_main_serves_all_modes(spark, tmp_path, monkeypatch, capsys):
+    from ostra import cli
+    from ostra.operators import ltr
+    from ostra.sources.store import save_model, write_raw_vectors
+
+    (tmp_path / "c.tsv").write_text("".join(f"D{i}\thttp://x/{i}\ttitle {i}\t{'cat' if i % 2 else 'dog'} walks number{i}\n" for i in range(12)))
+    write_raw_vectors(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(12)], "vec_id long, embedding array<float>"), f"{tmp_path}/v")
+    save_model(ltr.ListNet(8, hidden=4), f"{tmp_path}/m")
+    (tmp_path / "an_embedder.py").write_text("def embed(text):\n    return [1.0, float(len(text))]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+
+    def talk(*said, arguments=()):
+        lines = iter([*said, "exit"])
+        monkeypatch.setattr("builtins.input", lambda _: next(lines))
+        cli.main([f"{tmp_path}/index", *arguments])
+        return capsys.readouterr().out
+
+    out = talk("cat", "mode:semantic", "mode:combined", "enable:ltr", arguments=["--build", f"{tmp_path}/c.tsv"])
+    assert "walks number" in out and out.count("without vectors") == 2 and "no model" in out
+    options = ["--vectors", f"{tmp_path}/v", "--dim", "2", "--embedder", "an_embedder:embed", "--model", f"{tmp_path}/m"]
+    out = talk("mode:semantic", "cat", "mode:combined", "dog", "mode:exact", "enable:ltr", "cat dog", "disable:ltr", "cta", arguments=options)
+    assert "mode semantic" in out and "semantic" in out and "exact & semantic" in out and "re-ranking off" in out
+
+
+def test_snippets_count_characters_of_the_body(spark, tmp_path):
+    body = "größe " * 60 + "here stands the needle in a haystack " + "naïve " * 60
+    rows = [(1, "u", "needle of the title", body), (2, "u", "needle only here", "ééé " * 100), (3, "u", "t", "over there " * 30 + "quiet needle")]
+    build_index(spark.createDataFrame(rows, "doc_id long, url string, title string, body string"), f"{tmp_path}/i")
+    shown = {r.doc_id: r.snippet for r in SearchEngine(spark, f"{tmp_path}/i").exact_search("needle and not missing").collect()}
+    assert "needle" in shown[1] and "needle" in shown[3] and shown[2].startswith("é")
+    phrase = {r.doc_id: r.snippet for r in SearchEngine(spark, f"{tmp_path}/i").exact_search('"quiet needle"').collect()}
+    assert list(phrase) == [3] and phrase[3].endswith("quiet needle")
+
+
+def test_kept_lists_are_few_and_answer_the_same(engine):
+    plain = sorted(engine.matches("cat or dog").collect())
+    engine.cache(1)
+    assert sorted(engine.matches("cat or dog").collect()) == plain and len(engine._lists) == 2
+    engine.matches("cat").collect()
+    assert len(engine._lists) == 1
+    engine.cache(0)
+    assert not engine._lists and sorted(engine.matches("cat or dog").collect()) == plain
