@@ -118,8 +118,8 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
 
 
 def sized(docs: DataFrame, text: str = "text", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``size`` (its words; null text: 0) and ``_order``, the seeded hash of doc_id."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_order", F.xxhash64("doc_id", F.lit(seed)))
+    """``docs`` with ``size`` (its words; null text: 0) and ``_order``, the seeded hash of doc_id and text."""
+    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_order", F.xxhash64(F.col("doc_id"), F.col(text), F.lit(seed)))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 
     ``taken`` = copies * size. A null source is a source; null and empty texts have size 0 and
     take nothing. Repeated rows count each and may be taken differently. The same input gives the
-    same sums again, and the same rows wherever doc_ids differ. An empty table gives an empty result.
+    same sums again, and the same rows wherever doc_ids or texts differ. An empty table gives an empty result.
     """
     rows = settle(sized(docs.select("doc_id", "source", "text"), "text", seed).select("doc_id", "source", "size", "_order"))
     planned = plan(rows, weights, most, seed).drop("n")
@@ -140,7 +140,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """The documents of the mix themselves: every row as often as it is taken, with the columns of ``docs``.
 
     The rows are chosen by the hash up to which each source and size is taken, so texts are never
-    shuffled. Rows that share doc_id, source and size share the hash and go together.
+    shuffled. Only rows that are equal in doc_id and text share the hash and go together.
     """
     chosen = mix(docs, weights, most, seed)
     cuts = settle(
