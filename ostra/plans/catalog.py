@@ -185,6 +185,13 @@ def vocabulary_df(spark, sf_dir):
     return ix.vocabulary(ix.document_postings(corpus(spark, sf_dir)))
 
 
+@query(f"WITH {_POST} SELECT tier, count(*) AS postings, count(DISTINCT token) AS tokens FROM tr GROUP BY 1")
+def index_build(spark, sf_dir):
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"  # always a new one
+    ix.build_index(corpus(spark, sf_dir), path)
+    return spark.read.parquet(f"{path}/postings").groupBy("tier").agg(F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"))
+
+
 @query(f"WITH {_POST} SELECT n AS num_documents, round(avt, 6) AS avg_title, round(avb, 6) AS avg_body, (SELECT count(*) FROM post) AS num_postings FROM st")
 def collection_statistics(spark, sf_dir):
     i = index(spark, sf_dir)

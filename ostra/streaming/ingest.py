@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ostra.functions.analysis import tokenized_documents
-from ostra.operators.index import doc_stats, explode_terms, score_postings, vocabulary
+from ostra.operators.index import doc_stats, explode_terms, laid_out, score_postings, vocabulary
 
 
 def ingest(spark: SparkSession, source: str, schema, path: str, checkpoint: str, to_corpus, stem: bool = False, only: str = "*"):
@@ -34,4 +34,4 @@ def refresh(spark: SparkSession, path: str) -> None:
     postings = explode_terms(forward)
     vocabulary(postings).write.mode("overwrite").parquet(f"{path}/vocab")
     scored = score_postings(postings, spark.read.parquet(f"{path}/vocab"), doc_stats(forward))
-    scored.repartitionByRange("token", "doc_id").sortWithinPartitions("tier", "token", "doc_id").write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
+    laid_out(scored).write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
