@@ -11,8 +11,12 @@ FEATURES = ["bm25_title", "bm25_body", "title_length", "body_length", "ratio_que
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
-    """(query_id, token, n_tokens) of (query_id, tokens): different tokens, and how many the query has in all."""
-    return queries.select("query_id", F.size("tokens").alias("n_tokens"), F.explode(F.array_distinct("tokens")).alias("token"))
+    """(query_id, token, n_tokens) of (query_id, tokens): different tokens, and how many the query has in all.
+
+    A column ``n_tokens`` of the queries counts instead, where they have one.
+    """
+    n = F.col("n_tokens") if "n_tokens" in queries.columns else F.size("tokens")
+    return queries.select("query_id", n.alias("n_tokens"), F.explode(F.array_distinct("tokens")).alias("token"))
 
 
 def matched_postings(postings: DataFrame, tokens: DataFrame, pairs: DataFrame) -> DataFrame:

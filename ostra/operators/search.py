@@ -15,7 +15,7 @@ from ostra.operators.features import features, on_the_fly_bm25
 from ostra.operators.index import Index, min_tier, tier_counts
 from ostra.operators.vector import vector_top_k
 from ostra.plans.boolean import PHRASE_BYTES, evaluate
-from ostra.plans.query_language import explain_query, leaves, parse_query, positive_leaves
+from ostra.plans.query_language import compat_token_count, explain_query, leaves, parse_query, positive_leaves
 
 RADIUS = 100
 
@@ -85,10 +85,13 @@ class SearchEngine:
 
     ``vectors`` (vec_id, embedding) and ``embed`` (text to query vector) serve semantic search, ``model`` re-ranks.
     Without vectors semantic search is an error; without a model the order is by BM25.
+
+    ``compat`` keeps what the surveyed engine does where plain semantics differ: negation by flags, operators among a
+    query's tokens, doubled features of documents in both lists, and snippets shifted by the title's length.
     """
 
-    def __init__(self, spark, path: str, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, model: ltr.ListNet | None = None, phrase_bytes: int = 10) -> None:
-        self.index = Index(spark, path)
+    def __init__(self, spark, path: str, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, model: ltr.ListNet | None = None, phrase_bytes: int = 10, compat: bool = False) -> None:
+        self.index, self.compat = Index(spark, path), compat
         self.spark, self.vectors, self.embed, self.model, self.phrase_bytes = spark, vectors, embed, model, phrase_bytes
         self._lists: OrderedDict[str, DataFrame] = OrderedDict()
         self._most = 0
@@ -131,17 +134,17 @@ class SearchEngine:
     def suggest(self, query: str, min_df: int = spelling.MIN_DF, min_similarity: float = spelling.MIN_SIMILARITY) -> tuple[str, int]:
         return spelling.suggest(spelling.kgram_index(self.index.vocab, min_df), query, min_similarity, self.index.stem)
 
-    def matches(self, query: str, compat: bool = False, max_tier: int | None = None) -> DataFrame:
+    def matches(self, query: str, compat: bool | None = None, max_tier: int | None = None) -> DataFrame:
         """(doc_id, score) of all documents that fulfil the query."""
         tree = self.parse(query)
-        return evaluate(self.postings_of(leaves(tree)), tree, self.index.forward.select("doc_id"), self.phrase_bytes, compat, max_tier)
+        return evaluate(self.postings_of(leaves(tree)), tree, self.index.forward.select("doc_id"), self.phrase_bytes, self.compat if compat is None else compat, max_tier)
 
-    def tiered(self, query: str, min_k: int, compat: bool = False) -> DataFrame:
+    def tiered(self, query: str, min_k: int, compat: bool | None = None) -> DataFrame:
         """Matches among the best tiers only: as many tiers as it takes for ``min_k`` results. Approximate, and so not the default.
 
         The leaves' lists grow by a tier at a time; what was read of the tiers before is kept until the result is known.
         """
-        tree = self.parse(query)
+        tree, compat = self.parse(query), self.compat if compat is None else compat
         tokens = leaves(tree)
         last = self.index.meta["num_tiers"] - 1
         if not tokens:
@@ -162,13 +165,24 @@ class SearchEngine:
 
     def feature_rows(self, query: str, pairs: DataFrame) -> DataFrame:
         """Features of one query for (doc_id, similarity)."""
-        queries = self.spark.createDataFrame([(0, leaves(self.parse(query)))], "query_id long, tokens array<string>")
-        return features(self.postings_of(leaves(self.parse(query))), self.index.stats, self.index.num_documents, self.index.averages, queries, pairs.select(F.lit(0).cast("long").alias("query_id"), "doc_id", "similarity"))
+        tokens = leaves(self.parse(query))
+        n = compat_token_count(query, self.index.stem) if self.compat else len(tokens)
+        queries = self.spark.createDataFrame([(0, tokens, n)], "query_id long, tokens array<string>, n_tokens int")
+        return features(self.postings_of(tokens), self.index.stats, self.index.num_documents, self.index.averages, queries, pairs.select(F.lit(0).cast("long").alias("query_id"), "doc_id", "similarity"))
+
+    def _features_of(self, query: str, ranked: DataFrame) -> DataFrame:
+        """Features of a list; in compat those that add up over tokens count twice for documents that both searches found."""
+        rows = self.feature_rows(query, ranked)
+        if not self.compat:
+            return rows
+        twice = F.when(F.col("source") == "exact & semantic", 2.0).otherwise(1.0)
+        rows = rows.join(ranked.select("doc_id", twice.alias("_times")), "doc_id")
+        return rows.withColumns({c: F.col(c) * F.col("_times") for c in ("bm25_title", "bm25_body", "ratio_query_in_title", "ratio_query_in_body")}).drop("_times")
 
     def _rerank(self, query: str, ranked: DataFrame) -> DataFrame:
         if self.model is None:
             return ranked
-        rows = ltr.score(self.feature_rows(query, ranked), self.model)
+        rows = ltr.score(self._features_of(query, ranked), self.model)
         return ranked.drop("score").join(rows.select("doc_id", F.col("prediction").alias("score")), "doc_id")
 
     def _present(self, query: str, ranked: DataFrame, k: int) -> DataFrame:
@@ -177,7 +191,8 @@ class SearchEngine:
         first = first_places(self.postings_of(leaves(tree)), tree, best, self.phrase_bytes)
         rows = fetch(self.index.docs, best).join(first, "doc_id", "left")
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))  # k rows
-        shown = snippet(F.col("body"), characters_before(F.col("body"), F.col("at")))
+        at = characters_before(F.col("body"), F.col("at"))
+        shown = snippet(F.col("body"), at - F.octet_length("title") if self.compat else at)
         return rows.select(rank.alias("rank"), "doc_id", "score", "source", "similarity", "url", "title", "body", shown.alias("snippet")).orderBy("rank")
 
     def exact_search(self, query: str, pre_select_k: int = 50, top_k_: int = 10, ltr_enabled: bool = False, by_tiers: bool = False) -> DataFrame:
@@ -202,7 +217,7 @@ class SearchEngine:
         both = hybrid(top_k(self.matches(query), exact_preselect_k), self._nearest(query, semantic_preselect_k, vector))
         if self.model is not None:
             return self._present(query, self._rerank(query, both), top_k_)
-        bm25 = self.feature_rows(query, both).select("doc_id", on_the_fly_bm25().alias("bm25"))
+        bm25 = self._features_of(query, both).select("doc_id", on_the_fly_bm25().alias("bm25"))
         return self._present(query, both.drop("score").join(bm25, "doc_id").withColumn("score", F.col("bm25") + F.greatest("similarity", F.lit(0.0))), top_k_)
 
 

@@ -88,6 +88,18 @@ def kept_posting_lists(spark, sf_dir):
     return found.select("doc_id", r6(F.col("score"), "score"))
 
 
+@query(f"WITH {_POST} SELECT doc_id, round(count(DISTINCT token) FILTER (token IN ('er', 're', 'was')) / 5.0::DOUBLE, 6) AS ratio FROM docs LEFT JOIN tr USING (doc_id) GROUP BY 1")
+def compat_token_ratio(spark, sf_dir):
+    engine = _engine(spark, sf_dir, compat=True)  # its five tokens: er and re or was
+    rows = engine.feature_rows("er re or was", engine.index.docs.select("doc_id", F.lit(None).cast("double").alias("similarity")))
+    return rows.select("doc_id", r6(F.col("ratio_query_in_body"), "ratio"))
+
+
+@query(f"WITH {_wide('er', 're', 'ou')} SELECT doc_id, round(s_ou, 6) AS score FROM wide WHERE s_ou IS NOT NULL AND NOT (s_er IS NOT NULL AND s_re IS NULL)")
+def compat_negation(spark, sf_dir):
+    return _engine(spark, sf_dir, compat=True).matches("(er and not re) and ou").select("doc_id", r6(F.col("score"), "score"))
+
+
 # --- the re-ranker -----------------------------------------------------------------------------------
 HIDDEN = 8
 
