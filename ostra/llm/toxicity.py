@@ -9,6 +9,7 @@ is chosen anew in every round, so a few words in a long text are found.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER).split()
 
 
-def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
+def misspelt(word: bytes, rng: random.Random) -> bytes:
     """The word with one edit: a letter doubled, dropped, replaced, put for by one that looks alike, or two swapped."""
     if len(word) < 4:
         return word
-    w, at = bytearray(word), int(rng.integers(1, len(word) - 1))
-    edit = int(rng.integers(6))
+    w, at = bytearray(word), rng.randrange(1, len(word) - 1)
+    edit = rng.randrange(6)
     if edit == 0:
         w.insert(at, w[at])
     elif edit == 1:
@@ -53,12 +54,12 @@ def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
     elif edit == 2:
         w[at], w[at + 1] = w[at + 1], w[at]
     elif edit == 3:
-        w[at] = int(rng.integers(97, 123))
+        w[at] = rng.randrange(97, 123)
     elif edit == 4:
-        w.insert(at, int(rng.integers(97, 123)))
+        w.insert(at, rng.randrange(97, 123))
     else:
         looks = _LOOKS.get(w[at], b"*")
-        w[at] = looks[int(rng.integers(len(looks)))]
+        w[at] = looks[rng.randrange(len(looks))]
     return bytes(w)
 
 
@@ -131,7 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
     seen are told by what is left of the word. ``texts`` is emptied while it is read, so that a driver holds them once. Small
     samples get more rounds.
     """
-    rng = np.random.default_rng(seed)
+    rng, edits = np.random.default_rng(seed), random.Random(seed)
     w, b = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     y = np.asarray(labels, np.int64)
     vocabulary: dict[bytes, int] = {}
@@ -162,18 +163,22 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
     def step(spans: list[np.ndarray], target: np.ndarray, rate: float) -> None:
         """One Adagrad step on a batch of word spans, through both layers."""
         nonlocal w, b
-        ids = [gather(s) for s in spans]
-        n = np.array([len(i) for i in ids])
-        every, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), n)
-        h = np.add.reduceat(e[every], np.r_[0, n.cumsum()[:-1]], axis=0) / n[:, None]
+        m = np.array([len(s) for s in spans])
+        first = np.r_[0, m.cumsum()[:-1]]
+        words_, place = np.unique(np.concatenate(spans), return_inverse=True)  # each word's n-grams are summed once
+        own, every = size[words_], gather(words_)
+        n = np.add.reduceat(own[place], first)
+        h = np.add.reduceat(np.add.reduceat(e[every], np.r_[0, own.cumsum()[:-1]], axis=0)[place], first, axis=0) / n[:, None]
         p = softmax(h @ w + b)
         d = p.copy()
         d[np.arange(len(target)), target] -= 1
         dh = (d @ w.T / n[:, None]).astype(np.float32)
         dw, db = h.T @ d / len(target), d.mean(axis=0)
+        order = np.argsort(place, kind="stable")
+        of_word = np.add.reduceat(dh[np.repeat(np.arange(len(m)), m)[order]], np.r_[0, np.bincount(place).cumsum()[:-1]], axis=0)
         order = np.argsort(every, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0])
-        g, hit = np.add.reduceat(dh[owner[order]], at, axis=0), every[order][at]
+        g, hit = np.add.reduceat(np.repeat(of_word, own, axis=0)[order], at, axis=0), every[order][at]
         ge[hit] += (g * g).mean(axis=1)
         e[hit] -= rate * g / np.sqrt(ge[hit])[:, None]
         gw[:] += dw * dw
@@ -214,7 +219,7 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, rounds
             for k in range(len(spans)):
                 spans.append(np.arange(len(spelt), len(spelt) + len(spans[k])) + known)
                 target.append(target[k])
-                spelt += [misspelt(words[i], rng) for i in spans[k].tolist()]
+                spelt += [misspelt(words[i], edits) for i in spans[k].tolist()]
             g, n = grams(spelt, buckets)
             flat, size = np.r_[flat, g.astype(np.int32)], np.r_[size, n]
             start = np.r_[0, size.cumsum()]
