@@ -26,7 +26,7 @@ THRESHOLD = 0.5
 #: Bytes of item texts that are shipped to the tasks at once; more items are taken in blocks.
 BLOCK_BYTES = 32 << 20
 #: Words of a text whose seeds are looked up together.
-PIECE = 1 << 16
+PIECE = 1 << 18
 #: Alignments computed together, by number and by words; a stretch of seeds is split behind LONG words.
 TOGETHER, TOGETHER_WORDS, LONG = 128, 1 << 19, 1 << 12
 
@@ -83,8 +83,8 @@ class Items:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
 
-    def begins(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, first, last): for each seed in a sequence and each item that has it, between which places the item would begin."""
+    def begins(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, first, last): for each seed in a sequence and each item that has it, between which places the item would begin."""
         different, start, item, low, high = self.seeds[n]
         key, good = self.keys(ids, n)
         at = np.flatnonzero(good)
@@ -94,7 +94,7 @@ class Items:
         count = start[which + 1] - start[which]
         flat = np.repeat(start[which] - np.r_[0, count.cumsum()[:-1]], count) + np.arange(count.sum())
         at = np.repeat(at, count)
-        return item[flat].astype(np.int64), at - high[flat], at - low[flat]
+        return at, item[flat].astype(np.int64), at - high[flat], at - low[flat]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -134,53 +134,61 @@ class Detector:
         self.items, self.threshold = items, threshold
         self.slack = (MATCH * items.length * max(0.0, 1 - threshold) / -GAP).astype(np.int64) + 1
 
-    def _merged(self, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretches of one item that are no further apart than its slack, joined."""
-        if not len(item):
-            return item, low, high
-        order = np.lexsort((low, item))
-        item, low, high = item[order], low[order], high[order]
+    def _merged(self, group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches of one text and item that are no further apart than the item's slack, joined."""
+        if not len(group):
+            return group, low, high
+        order = np.lexsort((low, group))
+        group, low, high = group[order], low[order], high[order]
+        different = np.cumsum(np.r_[0, np.diff(group) != 0])
         wide = int(max(high.max(), 0) - min(low.min(), 0)) + 1
-        reached = np.maximum.accumulate(high + item * wide) - item * wide
-        new = np.r_[True, (item[1:] != item[:-1]) | (low[1:] > reached[:-1] + self.slack[item[1:]])]
+        reached = np.maximum.accumulate(high + different * wide) - different * wide
+        new = np.r_[True, (group[1:] != group[:-1]) | (low[1:] > reached[:-1] + self.slack[group[1:] % len(self.slack)])]
         at = np.flatnonzero(new)
-        return item[at], low[at], np.maximum.reduceat(high, at)
+        return group[at], low[at], np.maximum.reduceat(high, at)
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, word behind the last) of each stretch about seeds of the item.
+    def candidates(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, word behind the last) of each stretch about seeds of the item.
 
         An alignment through a seed has no more gaps than its matches pay for above the threshold,
-        so each one that reaches it lies in its seed's stretch as a whole. Seeds are looked up piece by
-        piece and joined at once, so a text that repeats itself takes no more memory than another.
+        so each one that reaches it lies in its seed's stretch as a whole. Seeds of all texts are looked up together, piece
+        by piece, and joined at once, so a text that repeats itself takes no more memory than another.
         """
+        gap = np.full(GRAM, -1, np.int32)  # no seed reaches from one text into the next
+        ids = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+        start = np.r_[0, np.cumsum([len(t) + GRAM for t in texts])].astype(np.int64)
         found = [(np.zeros(0, np.int64),) * 3]
         for n in self.items.seeds:
             for at in range(0, max(1, len(ids) - n + 1), PIECE):
-                item, low, high = self._merged(*self.items.begins(ids[at : at + PIECE + n - 1], n))
-                found.append((item, low + at, high + at))
+                place, item, low, high = self.items.begins(ids[at : at + PIECE + n - 1], n)
+                text = np.searchsorted(start, place + at, "right") - 1
+                found.append(self._merged(text * len(self.slack) + item, low + at - start[text], high + at - start[text]))
+        group, low, high = self._merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        item = group % max(1, len(self.slack))
+        slack, length, text = self.slack[item], self.items.length[item], group // max(1, len(self.slack))
         out = []
-        for item, low, high in zip(*(x.tolist() for x in self._merged(*(np.concatenate(x) for x in zip(*found, strict=True)))), strict=True):
-            slack, length = int(self.slack[item]), int(self.items.length[item])
-            for first in range(low, high + 1, LONG):
-                out.append((item, max(0, first - slack), min(len(ids), min(high, first + LONG - 1) + length + slack)))
+        for k, i, a, b, more, own in zip(*(x.tolist() for x in (text, item, low, high, slack, length)), strict=True):
+            for first in range(a, b + 1, LONG):
+                out.append((k, i, max(0, first - more), min(len(texts[k]), min(b, first + LONG - 1) + own + more)))
         return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
         """(text's place, item id, score, word behind the passage): each text's best alignment with each item, from the threshold."""
         jobs = []
         marked = np.zeros(self.items.base, bool)  # by word; the last place is that of foreign words
-        for k, text in enumerate(texts):
-            ids = self.items.sequence(text)
-            for item, start, end in self.candidates(ids):
-                own, part, held = self.items.words[item], ids[start:end], []
-                for some, of in ((part, own), (own, part)):
-                    marked[some] = True
-                    marked[-1] = False
-                    held.append(marked[of])
-                    marked[some] = False
-                least = self.threshold * MATCH * len(own) - 1e-6  # both sides' bounds are exact: no alignment scores more
-                if most_score(held[0]) >= least and most_score(held[1]) >= least:
-                    jobs.append((k, item, start, part))
+        read = [self.items.sequence(text) for text in texts]
+        for k, item, start, end in self.candidates(read):
+            own, part = self.items.words[item], read[k][start:end]
+            least = self.threshold * MATCH * len(own) - 1e-6  # the bounds of both sides are exact: no alignment scores more
+            for some, of in ((part, own), (own, part)):
+                marked[some] = True
+                marked[-1] = False
+                held = marked[of]
+                marked[some] = False
+                if MATCH * np.count_nonzero(held) < least or most_score(held) < least:
+                    break
+            else:
+                jobs.append((k, item, start, part))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         jobs.sort(key=lambda j: len(j[3]))
         at = 0
