@@ -29,6 +29,8 @@ BLOCK = 1 << 16
 SPLIT = 4096
 #: Up to so many edges the components are found on the driver (16 bytes an edge); beyond it by joins.
 LOCAL_EDGES = 500_000
+#: Ids of rows to be dropped are broadcast up to so many (about 100 MB as a hash table); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> np.ndarray:
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, s
     )
 
 
-def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS, split: int = SPLIT, local: int = LOCAL_EDGES) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS, split: int = SPLIT, local: int = LOCAL_EDGES, broadcast: int = BROADCAST_IDS) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest doc_id stays.
 
     All columns are kept. Rows of one id are decided apart by their fingerprints: if a component's smallest id has
@@ -289,7 +291,11 @@ def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS, split: i
     # an id of one row needs no fingerprint; the rows of all others are told apart by theirs
     several = settle(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
-    out = docs.join(kept.join(several, same(kept, several), "left_anti").select("doc_id"), "doc_id", "left_semi")
+    # what goes is less than what stays: while its ids are few, no text is shuffled
+    first = kept.select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_kept_fp"))
+    lost = rows.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("fp") == F.col("_kept_fp")), "left_anti").select("doc_id")
+    gone = settle(lost.unionByName(several).where("doc_id is not null").distinct())
+    out = docs.where("doc_id is not null").join(F.broadcast(gone) if gone.count() <= broadcast else gone, "doc_id", "left_anti")
     if not several.isEmpty():
         name = "_fp"
         while name in {c.lower() for c in docs.columns}:

@@ -233,6 +233,7 @@ def pivot_top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block:
                 yield pa.RecordBatch.from_pydict({"ask": pa.array([ask] * len(own), pa.int64()), "query_id": pa.array(own)})
 
     members = asked.select("ask", "ids").mapInArrow(listed, "ask long, query_id long")
+    askers = asked.agg(F.sum(F.length("ids") / 8)).first()[0] or 0
     known, answers, since, until, scanned = None, None, 0, first, []
     while since < len(names):
         asks = asked.withColumn("kth", F.lit(None).cast("map<long,long>")) if known is None else asked.join(known, "ask", "left")
@@ -244,10 +245,12 @@ def pivot_top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, block:
         pairs = body.join(requests, (F.col("at") == F.col("part")) & F.array_contains("wanted", F.col("block"))).select("qids", "q", "least", F.element_at("askers", F.array_position("wanted", F.col("block")).cast("int")).alias("mine"), "ids", "x")
         found = pairs.mapInPandas(scan, "query_id long, vec_id long, score long")
         answers = settle(best(found if answers is None else answers.select("query_id", "vec_id", "score").unionByName(found)))
-        since, until = until, until * GROWTH
+        # where the bounds exclude next to nothing, further rounds would only read the table again: the rest at once
+        hardly = since > 0 and size > 0.9 * askers * (min(until, len(names)) - since)
+        since, until = until, len(names) if hardly else until * GROWTH
         if since < len(names):
             kth = answers.where(F.col("rank") == k).select("query_id", "score")
             known = kth.join(members, "query_id").groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "score"))).alias("kth"))
     if report is not None:
-        report |= {"rounds": len(scanned), "share": sum(scanned) / (len(names) * max(1, asking.count()))}
+        report |= {"rounds": len(scanned), "share": sum(scanned) / (len(names) * max(1, askers))}
     return spark.createDataFrame([], result) if answers is None else answers.select("query_id", "rank", "vec_id", "score")

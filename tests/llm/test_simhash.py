@@ -104,3 +104,8 @@ def test_rows_of_one_id_are_decided_apart(spark):
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     wanted = [(5, a), (3, b), (7, c), (None, "only here without an id"), (9, "five"), (9, "six")]
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, wanted))
+
+
+def test_ids_joined_by_shuffle_keep_the_same_rows(spark, nasty):
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(keep_one(nasty, broadcast=0)) == rows(keep_one(nasty))
