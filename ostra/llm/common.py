@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     for key, most in _LIMITS.items():
         now = spark.conf.get(key, None)
-        if now is None or not 0 < int(now) <= most:
+        if now is None or now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # one with a unit is the user's own
             spark.conf.set(key, str(most))
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
