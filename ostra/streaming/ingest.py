@@ -15,9 +15,13 @@ from ostra.operators.index import doc_stats, explode_terms, laid_out, score_post
 def ingest(spark: SparkSession, source: str, schema, path: str, checkpoint: str, to_corpus, stem: bool = False, only: str = "*"):
     """Start a query over the Parquet files of the folder ``source`` with names like ``only`` that ends when all present files are read.
 
+    If ``only`` is the name of a folder in ``source``, a table of many files, these are read.
     Files are read once, by the stream's checkpoint; a batch that is repeated after a failure
     overwrites its own folder, so nothing is doubled. ``to_corpus`` maps rows to (doc_id, url, title, body).
     """
+    inside = spark._jvm.org.apache.hadoop.fs.Path(source, only)
+    if inside.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(inside):
+        source, only = inside.toString(), "*"
 
     def append(batch: DataFrame, number: int) -> None:
         docs = to_corpus(batch).where("doc_id is not null")

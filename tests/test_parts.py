@@ -175,6 +175,16 @@ def test_stream_and_resume(spark, tmp_path):
     assert json.dumps(spark.read.parquet(f"{tmp_path}/ix/docs").count()) == "20"
 
 
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    from ostra.streaming.ingest import ingest
+
+    schema = "doc_id long, url string, title string, body string"
+    spark.createDataFrame([(i, "u", "t", f"word{i}") for i in range(12)], schema).repartition(3).write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.createDataFrame([(99, "u", "t", "other")], schema).write.parquet(f"{tmp_path}/in/pages.parquet")
+    ingest(spark, f"{tmp_path}/in", schema, f"{tmp_path}/ix", f"{tmp_path}/cp", lambda d: d, only="documents.parquet").awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/ix/forward").collect()) == list(range(12))
+
+
 def test_nothing_but_the_entry_knows_the_optional_part():
     from pathlib import Path
 
