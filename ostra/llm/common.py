@@ -6,23 +6,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ostra.session import ship, spread
-
-#: Rows in an Arrow batch of texts, and bytes, so that long texts come in smaller batches.
-BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
-_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-
+from ostra.session import bound_batches, ship, spread
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder, split for Python workers of modest memory.
 
-    The session's bounds of Arrow batches are lowered to these two, never raised.
+    The session's bounds of Arrow batches are lowered to the package's, never raised.
     """
     ship(spark)
-    for key, most in _LIMITS.items():
-        now = spark.conf.get(key, None)
-        if now is None or now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # one with a unit is the user's own
-            spark.conf.set(key, str(most))
+    bound_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostra.functions.analysis import tokenized_documents
+from ostra.session import bound_batches, small_splits
 
 BOOSTS, BS, K = (1.0, 0.5), (0.75, 0.75), 1.5
 TIERS = (20.0, 15.0, 10.0, 5.0, 2.5, 0.0)
@@ -78,21 +79,27 @@ def tier_of(score: Column, thresholds=TIERS) -> Column:
 
 
 def score_postings(postings: DataFrame, vocab: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add ``df``, ``score`` and ``tier``. The collection's three numbers are read first and are literals;
-    the vocabulary is joined on the token, where adaptive execution splits what a frequent token makes uneven."""
+    """Add ``df``, ``score`` and ``tier``; postings of a token come together, those of a frequent one in several parts by doc_id.
+
+    The collection's numbers are read first and are literals. The parts follow from the counts, so nothing is sampled
+    and the rows move once: they meet the vocabulary where they stay. The number of tasks follows from the postings, so each sorts in memory.
+    """
     m = collection_stats(stats).first()
     n, avg_title, avg_body = (F.lit(None if x is None else float(x)).cast("double") for x in (m.num_documents, m.avg_title, m.avg_body))
-    scored = postings.join(vocab.select("token", "df"), "token").withColumn("score", bm25f_index(n, F.col("df"), avg_title, avg_body))
+    number = vocab.agg(F.sum("df")).first()[0] or 0
+    tasks = max(postings.sparkSession.sparkContext.defaultParallelism, -(-number // PART_ROWS))
+    parts = F.ceil(F.col("df") / PART_ROWS).cast("long")
+    often = vocab.where(F.col("df") > PART_ROWS).select(F.col("token").alias("_often"), parts.alias("_parts"))  # few: one for PART_ROWS postings at most
+    placed = postings.join(F.broadcast(often), F.col("token") == F.col("_often"), "left").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1).cast("long"))))
+    counts = vocab.select("token", "df", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    met = placed.drop("_often", "_parts").repartition(tasks, "token", "_part").join(counts.repartition(tasks, "token", "_part").hint("shuffle_hash"), ["token", "_part"])
+    scored = met.select(*postings.columns, "df").withColumn("score", bm25f_index(n, F.col("df"), avg_title, avg_body))
     return scored.withColumn("tier", tier_of(F.col("score")))
 
 
 def laid_out(scored: DataFrame) -> DataFrame:
-    """Postings of a token together, those of a frequent one in several parts by doc_id, sorted within a part.
-
-    The parts follow from the counts that the rows carry, so nothing is sampled and the rows move once.
-    """
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / PART_ROWS).cast("long"))
-    return scored.repartition("token", part).sortWithinPartitions("tier", "token", "doc_id")
+    """Scored postings sorted where they are: those of a token lie together, so that a query's tokens select few row groups."""
+    return scored.sortWithinPartitions("tier", "token", "doc_id")
 
 
 def tier_counts(scored: DataFrame) -> DataFrame:
@@ -106,25 +113,35 @@ def min_tier(counts: DataFrame, tokens: list[str], top_k: int, tiers: int = len(
     return next((t for t in range(tiers) if all(got.get((w, t), 0) >= top_k for w in set(tokens))), tiers - 1)
 
 
+def save(df: DataFrame, path: str, *by: str) -> None:
+    """Write a table of an index: many of its bytes are repeated names and numbers, which zstd packs well; small row groups make small splits."""
+    df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def write_postings(spark: SparkSession, path: str) -> None:
+    """The vocabulary and the scored postings of the forward index of a folder."""
+    with small_splits(spark):
+        forward = spark.read.parquet(f"{path}/forward")
+        save(vocabulary(explode_terms(forward)), f"{path}/vocab")
+        save(laid_out(score_postings(explode_terms(forward), spark.read.parquet(f"{path}/vocab"), doc_stats(forward))), f"{path}/postings", "tier")
+
+
 def build_index(docs: DataFrame, path: str, stem: bool = False, max_documents: int | None = None) -> None:
     """Write an index of ``docs`` (doc_id, url, title, body) to a folder.
 
     The text is analysed once into a forward index; postings are then laid out by token, a
-    frequent one over several files, and sorted, so that a query's tokens select few row groups.
+    frequent one over several files, and sorted.
     Null ids have no place in an index and are left out; of several rows with one id each is indexed.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     if max_documents is not None:
         docs = docs.orderBy("doc_id").limit(max_documents)
     docs = docs.where("doc_id is not null").select("doc_id", "url", "title", "body")
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
-    tokenized_documents(docs, stem).write.mode("overwrite").parquet(f"{path}/forward")
-    forward = spark.read.parquet(f"{path}/forward")
-    stats = doc_stats(forward)
-    vocabulary(explode_terms(forward)).write.mode("overwrite").parquet(f"{path}/vocab")
-    vocab = spark.read.parquet(f"{path}/vocab")
-    scored = score_postings(explode_terms(forward), vocab, stats)
-    laid_out(scored).write.mode("overwrite").partitionBy("tier").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    save(docs, f"{path}/docs")
+    save(tokenized_documents(docs, stem), f"{path}/forward")
+    stats = doc_stats(spark.read.parquet(f"{path}/forward"))
+    write_postings(spark, path)
     meta = collection_stats(stats).first()
     n_postings = spark.read.parquet(f"{path}/postings").count()
     info = {

@@ -20,7 +20,7 @@ from ostra.operators.search import characters_before, fetch, first_places, hybri
 from ostra.operators.vector import dot, gather
 from ostra.plans.boolean import evaluate
 from ostra.plans.query_language import parse_query
-from ostra.session import checkpoint_dir, settle, ship, spread
+from ostra.session import bound_batches, checkpoint_dir, settle, ship, spread
 from ostra.sources.corpus import TAG, UNSEEN, documents_corpus, pages_corpus
 from ostra.sources.store import concat_parts
 
@@ -43,6 +43,7 @@ def query(oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

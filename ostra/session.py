@@ -6,10 +6,18 @@ import os
 import re
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch of texts, and bytes, so that long texts come in smaller batches.
+BATCH_ROWS, BATCH_BYTES = 512, 64 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+#: Bytes of a split of analysed documents: a task's postings take some twelve times as much, and stay in memory.
+SPLIT_BYTES = 16 << 20
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
@@ -48,6 +56,28 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to those of this package; they are never raised."""
+    for key, most in _LIMITS.items():
+        now = spark.conf.get(key, None)
+        if now is None or now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # one with a unit is the user's own
+            spark.conf.set(key, str(most))
+
+
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans that are run inside have splits of at most ``SPLIT_BYTES``, so that what a task shuffles needn't be spilled."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    if least > SPLIT_BYTES:
+        spark.conf.set(key, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores, dealt out to all of them; any other as it is.
 

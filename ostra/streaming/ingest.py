@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ostra.functions.analysis import tokenized_documents
-from ostra.operators.index import doc_stats, explode_terms, laid_out, score_postings, vocabulary
+from ostra.operators.index import save, write_postings
+from ostra.session import bound_batches
 
 
 def ingest(spark: SparkSession, source: str, schema, path: str, checkpoint: str, to_corpus, stem: bool = False, only: str = "*"):
@@ -19,14 +20,15 @@ def ingest(spark: SparkSession, source: str, schema, path: str, checkpoint: str,
     Files are read once, by the stream's checkpoint; a batch that is repeated after a failure
     overwrites its own folder, so nothing is doubled. ``to_corpus`` maps rows to (doc_id, url, title, body).
     """
+    bound_batches(spark)
     inside = spark._jvm.org.apache.hadoop.fs.Path(source, only)
     if inside.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(inside):
         source, only = inside.toString(), "*"
 
     def append(batch: DataFrame, number: int) -> None:
         docs = to_corpus(batch).where("doc_id is not null")
-        docs.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
-        tokenized_documents(docs, stem).write.mode("overwrite").parquet(f"{path}/forward/batch={number}")
+        save(docs, f"{path}/docs/batch={number}")
+        save(tokenized_documents(docs, stem), f"{path}/forward/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", only).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -34,8 +36,4 @@ def ingest(spark: SparkSession, source: str, schema, path: str, checkpoint: str,
 
 def refresh(spark: SparkSession, path: str) -> None:
     """Vocabulary and scored postings of everything that was ingested so far."""
-    forward = spark.read.parquet(f"{path}/forward")
-    postings = explode_terms(forward)
-    vocabulary(postings).write.mode("overwrite").parquet(f"{path}/vocab")
-    scored = score_postings(postings, spark.read.parquet(f"{path}/vocab"), doc_stats(forward))
-    laid_out(scored).write.mode("overwrite").partitionBy("tier").parquet(f"{path}/postings")
+    write_postings(spark, path)

@@ -185,6 +185,35 @@ def test_stream_reads_a_table_of_many_files(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/ix/forward").collect()) == list(range(12))
 
 
+def test_postings_move_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    from ostra.functions.analysis import tokenized_documents
+    from ostra.operators import index
+
+    docs = spark.createDataFrame([(i, "u", f"title {i % 3}", f"word{i % 4} common text number{i}") for i in range(60)], "doc_id long, url string, title string, body string")
+    t = tokenized_documents(docs)
+    p = index.explode_terms(t)
+    made = lambda: index.laid_out(index.score_postings(p, index.vocabulary(p), index.doc_stats(t)))
+    wanted = sorted(map(repr, made().collect()))
+    monkeypatch.setattr(index, "PART_ROWS", 10)  # most tokens are then in several parts
+    got = made()
+    assert sorted(map(repr, got.collect())) == wanted and len(wanted) > 200
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("Join")[0]  # nothing moves once the score is known
+    assert got.rdd.getNumPartitions() >= len(wanted) / 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_splits_are_small_only_while_an_index_is_built(spark):
+    from ostra.session import SPLIT_BYTES, small_splits
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for at, inside in (("128m", str(SPLIT_BYTES)), ("1m", "1m")):
+        spark.conf.set(key, at)
+        with small_splits(spark):
+            assert spark.conf.get(key) == inside
+        assert spark.conf.get(key) == at
+    spark.conf.set(key, before)
+
+
 def test_nothing_but_the_entry_knows_the_optional_part():
     from pathlib import Path
 
