@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,20 @@ def tokenize_text(text: str, is_query: bool = False, stem: bool = True) -> tuple
     return [w.decode() for w, _ in found], [p for _, p in found]
 
 
+#: Text that a worker analyses at a time, in bytes: its lists of tokens and positions take some thirty times as much.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, texts: tuple[str, ...], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of at most ``most`` bytes of text, or of one row."""
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), np.int64) for c in texts)
+    ends, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 TERM = "array<struct<token: string, tf_title: int, tf_body: int, positions: array<int>>>"
 
 
@@ -75,32 +90,36 @@ def tokenized_documents(docs: DataFrame, stem: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            titles, bodies = (pc.fill_null(batch.column(c).cast(pa.binary()), b"").to_pylist() for c in (1, 2))
-            n_title, n_body, ends = [], [], [0]
-            tokens, tf_title, tf_body, places, place_ends = [], [], [], [], [0]
-            for title, body in zip(titles, bodies, strict=True):
-                a, b = scan(title, stem, stops), scan(body, stem, stops)
-                by: dict[bytes, list[int]] = {}
-                for w, p in a:
-                    by.setdefault(w, []).append(p)
-                in_title = {w: len(p) for w, p in by.items()}
-                for w, p in b:
-                    by.setdefault(w, []).append(p)
-                for w, p in by.items():
-                    t = in_title.get(w, 0)
-                    tokens.append(w)
-                    tf_title.append(t)
-                    tf_body.append(len(p) - t)
-                    places += p
-                    place_ends.append(len(places))
-                n_title.append(len(a))
-                n_body.append(len(b))
-                ends.append(len(tokens))
-            terms = pa.StructArray.from_arrays(
-                [pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(tf_title, pa.int32()), pa.array(tf_body, pa.int32()), pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32()))],
-                names=["token", "tf_title", "tf_body", "positions"],
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_title, pa.int32()), pa.array(n_body, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=["doc_id", "len_title", "len_body", "terms"])
+            for part in pieces(batch, ("title", "body")):
+                yield analysed(part)
+
+    def analysed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        titles, bodies = (pc.fill_null(batch.column(c).cast(pa.binary()), b"").to_pylist() for c in (1, 2))
+        n_title, n_body, ends = [], [], [0]
+        tokens, tf_title, tf_body, places, place_ends = [], [], [], [], [0]
+        for title, body in zip(titles, bodies, strict=True):
+            a, b = scan(title, stem, stops), scan(body, stem, stops)
+            by: dict[bytes, list[int]] = {}
+            for w, p in a:
+                by.setdefault(w, []).append(p)
+            in_title = {w: len(p) for w, p in by.items()}
+            for w, p in b:
+                by.setdefault(w, []).append(p)
+            for w, p in by.items():
+                t = in_title.get(w, 0)
+                tokens.append(w)
+                tf_title.append(t)
+                tf_body.append(len(p) - t)
+                places += p
+                place_ends.append(len(places))
+            n_title.append(len(a))
+            n_body.append(len(b))
+            ends.append(len(tokens))
+        terms = pa.StructArray.from_arrays(
+            [pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(tf_title, pa.int32()), pa.array(tf_body, pa.int32()), pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32()))],
+            names=["token", "tf_title", "tf_body", "positions"],
+        )
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_title, pa.int32()), pa.array(n_body, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)], names=["doc_id", "len_title", "len_body", "terms"])
 
     return docs.select(F.col("doc_id").cast("long"), "title", "body").mapInArrow(run, f"doc_id long, len_title int, len_body int, terms {TERM}")
 

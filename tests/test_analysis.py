@@ -59,3 +59,20 @@ def test_documents(spark):
     assert rows == {(1, "cat", 0, 0), (1, "dog", 0, 4), (1, "dog", 1, 0), (1, "t", 1, 6), (1, "dog", 1, 10), (1, "cat9", 1, 14)}
     lens = {r.doc_id: (r.len_title, r.len_body) for r in tokenized_documents(docs).collect()}
     assert lens == {1: (2, 4), 2: (0, 0), 3: (0, 0)}
+
+
+def test_a_worker_analyses_a_batch_in_small_pieces(spark):
+    import pyarrow as pa
+    from ostra.functions.analysis import pieces
+    from ostra.plans.catalog import table
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "title": ["a", None, "", "é", "t"], "body": ["x" * 5, "y" * 20, None, "z", "w" * 3]})
+    ids = lambda b, most: [x.column(0).to_pylist() for x in pieces(b, ("title", "body"), most)]
+    assert ids(batch, 10) == [[1], [2], [3, 4, 5]] and ids(batch, 1000) == [[1, 2, 3, 4, 5]]
+    assert ids(batch.slice(2, 3), 3) == [[3, 4], [5]] and ids(batch.slice(0, 0), 3) == []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    table(spark, "/root/testdata/sf0.001", "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"
+    rows = [(i, f"title {i}", "many words of a text " * 20_000) for i in range(6)]
+    lens = tokenized_documents(spark.createDataFrame(rows, "doc_id long, title string, body string").coalesce(1)).select("doc_id", "len_title", "len_body").collect()
+    assert sorted(map(tuple, lens)) == [(i, 2, 60_000) for i in range(6)]
