@@ -19,9 +19,19 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", n.alias("n_tokens"), F.explode(F.array_distinct("tokens")).alias("token"))
 
 
+#: Tokens of queries, each counted once a query, that are looked up in the index; with more the postings are joined by shuffle.
+FEW = 1000
+
+
 def matched_postings(postings: DataFrame, tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Postings of the pairs' documents for their query's tokens. The tokens' side is small beside the
-    postings and is left to the optimizer, which broadcasts it below its size threshold."""
+    """Postings of the pairs' documents for their query's tokens.
+
+    A few tokens select their row groups by a filter that reaches the scan, and no other posting is read or moved.
+    """
+    few = tokens.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        postings = postings.where(F.col("token").isin(sorted({r.token for r in few if r.token is not None})))
+        tokens = F.broadcast(tokens)
     return postings.join(tokens, "token").join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"])
 
 

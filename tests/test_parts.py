@@ -214,6 +214,22 @@ def test_splits_are_small_only_while_an_index_is_built(spark):
     spark.conf.set(key, before)
 
 
+def test_features_read_only_the_postings_of_few_tokens(spark, monkeypatch):
+    from ostra.operators import features
+    from ostra.plans import catalog
+
+    postings = catalog.index(spark, "/root/testdata/sf0.001").postings
+    tokens = features.query_tokens(spark.createDataFrame([(0, ["er", "re"]), (1, ["er", "nosuchword", "er"])], "query_id long, tokens array<string>"))
+    pairs = spark.createDataFrame([(i % 2, i) for i in range(200)], "query_id long, doc_id long")
+    shown = lambda df: sorted((r.query_id, r.doc_id, r.token, r.n_tokens) for r in df.collect())
+    few = features.matched_postings(postings, tokens, pairs)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(token" in plan or "IsNotNull(token), In(token" in plan
+    found = shown(few)
+    monkeypatch.setattr(features, "FEW", 1)
+    assert shown(features.matched_postings(postings, tokens, pairs)) == found and {r[2] for r in found} == {"er", "re"}
+
+
 def test_nothing_but_the_entry_knows_the_optional_part():
     from pathlib import Path
 
