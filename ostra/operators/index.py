@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostra.functions.analysis import tokenized_documents
+from ostra.functions.analysis import STOPWORDS, plain_tokens, tokenized_documents
 from ostra.session import bound_batches, small_splits
 
 BOOSTS, BS, K = (1.0, 0.5), (0.75, 0.75), 1.5
@@ -34,6 +34,13 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.col("tf_title") + F.col("tf_body")).alias("cf"))
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(token, df) of the documents' plain tokens: what the vocabulary says of them, in native expressions and without an index."""
+    tokens = F.array_distinct(F.concat(plain_tokens(F.col("title")), plain_tokens(F.col("body"))))
+    rows = docs.where("doc_id is not null").select(F.explode(tokens).alias("token")).where(~F.col("token").isin(*STOPWORDS))
+    return rows.groupBy("token").agg(F.count("*").alias("df"))
+
+
 def first_seen_ids(postings: DataFrame) -> DataFrame:
     """(token, token_id): dense ids in the order in which tokens are first seen, by document, field and position."""
     from ostra.operators.ranks import gapless_rank

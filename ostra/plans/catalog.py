@@ -61,6 +61,13 @@ def index(spark: SparkSession, sf_dir: str, stem: bool = False) -> ix.Index:
     return ix.Index(spark, _paths[key])
 
 
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, df): of the index, if the application has one, else of the documents, as no posting is needed."""
+    if (spark.sparkContext.applicationId, sf_dir, False) in _paths:
+        return index(spark, sf_dir).vocab.select("token", "df")
+    return ix.document_frequencies(corpus(spark, sf_dir))
+
+
 def r6(column, name: str):
     return F.round(column, 6).alias(name)
 
@@ -475,18 +482,18 @@ cd AS (SELECT word, token, df, sum(least(n, m)) AS c FROM kg JOIN wg USING (bigr
 
 @query(f"WITH {_GRAMS} SELECT bigram, token, n, df FROM kg")
 def kgram_index(spark, sf_dir):
-    return spelling.kgram_index(index(spark, sf_dir).vocab, 20)
+    return spelling.kgram_index(frequencies(spark, sf_dir), 20)
 
 
 @query(f"WITH {_CAND} SELECT * FROM jc")
 def spelling_candidates(spark, sf_dir):
-    found = spelling.candidates(spelling.kgram_index(index(spark, sf_dir).vocab, 20), _WORDS)
+    found = spelling.candidates(spelling.kgram_index(frequencies(spark, sf_dir), 20), _WORDS)
     return found.select("word", "token", "df", r6(F.col("jaccard"), "jaccard"))
 
 
 @query(f"WITH {_CAND} SELECT word, token AS suggestion, df, jaccard FROM jc WHERE jaccard >= 0.3 QUALIFY row_number() OVER (PARTITION BY word ORDER BY jaccard DESC, df DESC, token) = 1")
 def spelling_top(spark, sf_dir):
-    found = spelling.suggestions(spelling.kgram_index(index(spark, sf_dir).vocab, 20), _WORDS, 0.3)
+    found = spelling.suggestions(spelling.kgram_index(frequencies(spark, sf_dir), 20), _WORDS, 0.3)
     return found.select("word", "suggestion", "df", r6(F.col("jaccard"), "jaccard"))
 
 

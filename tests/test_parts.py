@@ -214,6 +214,18 @@ def test_splits_are_small_only_while_an_index_is_built(spark):
     spark.conf.set(key, before)
 
 
+def test_spelling_needs_no_index(spark, monkeypatch):
+    from ostra.plans import catalog
+
+    small = "/root/testdata/sf0.001"
+    by_index = sorted(map(tuple, catalog.index(spark, small).vocab.select("token", "df").collect()))
+    known = sorted(map(tuple, catalog.QUERIES["spelling_candidates"](spark, small).collect()))
+    monkeypatch.setattr(catalog, "_paths", {})
+    monkeypatch.setattr(catalog.ix, "build_index", lambda *a: pytest.fail("an index is built"))
+    assert sorted(map(tuple, catalog.frequencies(spark, small).collect())) == by_index
+    assert sorted(map(tuple, catalog.QUERIES["spelling_candidates"](spark, small).collect())) == known and known
+
+
 def test_features_read_only_the_postings_of_few_tokens(spark, monkeypatch):
     from ostra.operators import features
     from ostra.plans import catalog
