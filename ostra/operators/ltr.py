@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from ostra.operators.features import FEATURES
 
 
+#: Rows that a worker scores at a time.
+SCORED_ROWS = 512
+
+
 class ListNet:
     """Standardised features through three ReLU layers to one score."""
 
@@ -112,8 +116,10 @@ def score(features: DataFrame, model: ListNet, columns: list[str] = FEATURES) ->
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema), "prediction double"])
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            yield pdf.assign(prediction=shipped.value.forward(pdf[columns].to_numpy(float))[0])
+        for batch in pdfs:
+            for at in range(0, len(batch), SCORED_ROWS):  # the layers of so many rows are in memory at a time
+                pdf = batch.iloc[at : at + SCORED_ROWS]
+                yield pdf.assign(prediction=shipped.value.forward(pdf[columns].to_numpy(float))[0])
 
     return features.mapInPandas(run, schema)
 

@@ -242,6 +242,22 @@ def test_features_read_only_the_postings_of_few_tokens(spark, monkeypatch):
     assert shown(features.matched_postings(postings, tokens, pairs)) == found and {r[2] for r in found} == {"er", "re"}
 
 
+def test_a_worker_scores_few_rows_at_a_time(monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    model, sizes = ltr.ListNet(8, hidden=4), []
+    forward = model.forward
+    monkeypatch.setattr(model, "forward", lambda x: sizes.append(len(x)) or forward(x))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value)))
+    run = ltr.score(SimpleNamespace(sparkSession=session, schema=[], mapInPandas=lambda f, schema: f), model)
+    x = pd.DataFrame(np.random.default_rng(0).normal(size=(1300, 8)), columns=ltr.FEATURES)
+    got = pd.concat(run(iter([x, x.iloc[:0], x.iloc[:3]])))
+    assert max(sizes) <= 512 and sum(sizes) == 1303
+    assert np.allclose(got.prediction, np.concatenate([forward(x.to_numpy())[0], forward(x.iloc[:3].to_numpy())[0]]))
+
+
 def test_nothing_but_the_entry_knows_the_optional_part():
     from pathlib import Path
 
