@@ -20,7 +20,7 @@ from ostra.operators.search import characters_before, fetch, first_places, hybri
 from ostra.operators.vector import dot, gather
 from ostra.plans.boolean import evaluate
 from ostra.plans.query_language import parse_query
-from ostra.session import bound_batches, checkpoint_dir, settle, ship, spread
+from ostra.session import bound_batches, checkpoint_dir, ship, spread
 from ostra.sources.corpus import TAG, UNSEEN, documents_corpus, pages_corpus
 from ostra.sources.store import concat_parts
 
@@ -209,9 +209,12 @@ def collection_statistics(spark, sf_dir):
 
 @query(f"WITH {_POST} SELECT token, doc_id, round(score, 6) AS score, tier FROM tr")
 def bm25f_scores_and_tiers(spark, sf_dir):
-    t = settle(tokenized_documents(corpus(spark, sf_dir)))
+    path = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
+    ix.save(tokenized_documents(corpus(spark, sf_dir)), f"{path}/forward")
+    t = spark.read.parquet(f"{path}/forward")
     p = ix.explode_terms(t)
-    return ix.score_postings(p, ix.vocabulary(p), ix.doc_stats(t)).select("token", "doc_id", r6(F.col("score"), "score"), "tier")
+    ix.save(ix.vocabulary(p), f"{path}/vocab")
+    return ix.score_postings(p, spark.read.parquet(f"{path}/vocab"), ix.doc_stats(t)).select("token", "doc_id", r6(F.col("score"), "score"), "tier")
 
 
 @query(f"WITH {_POST} SELECT token, tier, count(*) AS n FROM tr GROUP BY 1, 2")
