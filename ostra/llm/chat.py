@@ -1,12 +1,13 @@
 """Chat formatting of reply trees.
 
-Messages name their parent. Iterative self-joins by doubled steps find every message's root, depth
-and score along the path (a conversation of n turns takes log2 n joins, not n), then expand the
-chosen leaves to their paths. Branches are ranked by score, and each chosen path becomes one
-conversation in a template whose control strings are escaped inside texts, reversibly.
-
-All joins see ids only. A message names its text by the text's MD5, and the texts move once, to the
-task that formats their tree.
+Messages name their parent. Iterative self-joins by doubled steps find the message 1, 2, 4, ... steps
+above each (a conversation of n turns takes log2 n joins, not n). By these the leaves climb to their
+root, which gives depth and score along the path; then the chosen leaves are expanded to their paths.
+Branches are ranked by score, and each chosen path becomes one conversation in a template whose
+control strings are escaped inside texts, reversibly.
+
+All joins see numbers of messages only. A message names its text by the text's MD5, and the texts
+move once, to the task that formats their tree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostra.operators.ranks import gapless_rank
-from ostra.session import settle
+from ostra.session import settle, settled_rows
 
 #: A tree of more bytes of text, or of more rows on its paths, isn't held by one task: its paths are gathered each for itself.
 TREE_BYTES, TREE_ROWS = 64 << 20, 4_000_000
@@ -61,6 +62,52 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Of each k the (id, up, by) of the messages with 2**k messages above them: the one 2**k steps up, and the scores on the way up to it.
+
+    Also the (id, up, by) of the messages on or behind a cycle of parents, None if there are none.
+    """
+    own = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("id").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("by"))
+    jumps = [settle(nodes.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p"))).select("id", "up", "by"))]
+    # messages whose way up is shorter fall out of the join; as soon as none does, all that are left lie on or behind a cycle
+    before, left = -1, settled_rows(jumps[0])
+    while left not in (0, before):
+        far = jumps[-1].select(F.col("id").alias("at"), F.col("up").alias("up2"), F.col("by").alias("by2"))
+        jumps.append(settle(jumps[-1].join(far, F.col("up") == F.col("at")).select("id", F.col("up2").alias("up"), (F.col("by") + F.col("by2")).alias("by"))))
+        before, left = left, settled_rows(jumps[-1])
+    last = jumps.pop()
+    return jumps, last if left else None
+
+
+def _paths(nodes: DataFrame, branches: int | None) -> DataFrame:
+    """``paths`` of settled ``nodes`` (id, tree, node, parent, score) as (id, leaf, branch, depth).
+
+    No union is settled on the way: its constraints, an OR of those of its parts, stay with it and would double with each step.
+    """
+    jumps, cyclic = _jumps(nodes)
+    ends = nodes.select("id", "tree", "node", "score")
+    if jumps:
+        ends = ends.join(jumps[0].select("up"), F.col("id") == F.col("up"), "left_anti")
+    if cyclic is not None:
+        ends = ends.join(cyclic.select(F.col("id").alias("lost")), F.col("id") == F.col("lost"), "left_anti")
+    heads = ends.select("tree", F.col("node").alias("leaf"), "id", F.col("id").alias("at"), F.lit(1).cast("long").alias("length"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
+    for k in reversed(range(len(jumps))):
+        # a leaf's length in binary digits, the largest first
+        far = jumps[k].select(F.col("id").alias("from"), "up", "by")
+        heads = heads.join(far, F.col("at") == F.col("from"), "left").select(
+            "tree", "leaf", "id", F.coalesce("up", "at").alias("at"), F.when(F.col("up").isNull(), F.col("length")).otherwise(F.col("length") + 2**k).alias("length"), (F.col("total") + F.coalesce("by", F.lit(0.0))).alias("total")
+        )
+    ranked = gapless_rank(heads.select("tree", "leaf", "id", "length", (F.col("total") / F.col("length")).alias("mean")), ["tree"], [F.desc("mean"), F.col("leaf")], "branch")
+    chosen = settle((ranked if branches is None else ranked.where(F.col("branch") < branches)).select("id", "leaf", "branch", "length"))
+    members = chosen.select("leaf", "branch", "id", F.col("length").alias("depth"))
+    for k in reversed(range(len(jumps))):
+        # every message found so far, and the one 2**k steps up; a message is joined once a step, so nothing is run twice
+        far = jumps[k].select(F.col("id").alias("from"), "up")
+        higher = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth")))
+        members = members.join(far, F.col("id") == F.col("from"), "left").select("leaf", "branch", F.inline(F.array(F.struct("id", "depth"), higher))).where("id is not null")
+    return members.select("id", "leaf", "branch", "depth")
+
+
 def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """(tree, leaf, branch, node, depth) for each message on each chosen root-to-leaf path.
 
@@ -69,33 +116,9 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     a tree are ranked by it from 0, ties to the smaller leaf, and the first ``branches`` chosen
     (None: all). Messages on a cycle of parents have no root and so no path.
     """
-    steps = settle(
-        messages.alias("m").join(messages.select(F.col("tree").alias("t"), F.col("node").alias("p")), F.col("m.tree").eqNullSafe(F.col("t")) & (F.col("m.parent") == F.col("p")), "left")
-        .select("m.tree", "m.node", F.col("p").alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("m.score").cast("double"), F.lit(0.0)).alias("total"))
-    )
-    # of each doubling the messages that haven't reached a root by then; those that have are final and go no further
-    jumps, done = [steps.where("up is not null")], steps.where("up is null")
-    # as soon as doubling doesn't leave fewer of them, all lie on or behind a cycle
-    before, left = -1, jumps[0].count()
-    while left not in (0, before):
-        s = jumps[-1]
-        far = s.unionByName(done).select(F.col("tree").alias("t"), F.col("node").alias("u"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("total2"))
-        both = s.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u")))
-        moved = settle(both.select("tree", "node", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("total") + F.col("total2")).alias("total")))
-        jumps.append(moved.where("up is not null"))
-        done = done.unionByName(moved.where("up is null"))
-        before, left = left, jumps[-1].count()
-    parents = steps.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
-    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u")), "left_anti")
-    leaves = gapless_rank(leaves.select("tree", F.col("node").alias("leaf"), F.col("n").alias("length"), (F.col("total") / F.col("n")).alias("mean")), ["tree"], [F.desc("mean"), F.col("leaf")], "branch")
-    chosen = settle(leaves if branches is None else leaves.where(F.col("branch") < branches))
-    members = chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.col("length").alias("depth"))
-    for k in reversed(range(len(jumps))):
-        # from every message found so far, the one 2**k steps up
-        up = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("u"), "up")
-        more = members.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u"))).select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        members = members.unionByName(settle(more))
-    return members
+    nodes = settle(messages.select(F.monotonically_increasing_id().alias("id"), "tree", "node", "parent", "score"))
+    named = nodes.select(F.col("id").alias("i"), "tree", "node")
+    return _paths(nodes, branches).join(named, F.col("id") == F.col("i")).select("tree", "leaf", "branch", "node", "depth")
 
 
 def _formatted(members: DataFrame, texts: DataFrame, most_bytes: int = TREE_BYTES, most_rows: int = TREE_ROWS) -> DataFrame:
@@ -169,10 +192,10 @@ def _formatted(members: DataFrame, texts: DataFrame, most_bytes: int = TREE_BYTE
 
 
 def _of_trees(nodes: DataFrame, texts: DataFrame, branches: int | None, **bounds: int) -> DataFrame:
-    """Paths of ``nodes`` (tree, node, parent, role, key, score), formatted."""
-    found = paths(nodes.select("tree", "node", "parent", "score"), branches)
-    named = nodes.select(F.col("tree").alias("t"), F.col("node").alias("u"), "role", "key")
-    members = settle(found.join(named, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("u"))).select("tree", "leaf", "branch", "depth", "role", "key"))
+    """Paths of settled ``nodes`` (id, tree, node, parent, role, key, score), formatted."""
+    found = _paths(nodes.select("id", "tree", "node", "parent", "score"), branches)
+    named = nodes.select(F.col("id").alias("i"), "tree", "role", "key")
+    members = settle(found.join(named, F.col("id") == F.col("i")).select("tree", "leaf", "branch", "depth", "role", "key"))
     return _formatted(members, texts, **bounds)
 
 
@@ -187,7 +210,7 @@ def format_trees(messages: DataFrame, branches: int | None = None, **bounds: int
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     nodes = settle(
         messages.groupBy("tree", "node").agg(F.min(F.struct("parent", role.alias("role"), F.md5(text).alias("key"), "score")).alias("r"))
-        .select("tree", "node", "r.parent", "r.role", "r.key", "r.score")
+        .select(F.monotonically_increasing_id().alias("id"), "tree", "node", "r.parent", "r.role", "r.key", "r.score")
     )
     return _of_trees(nodes, messages.select("tree", F.md5(text).alias("key"), text.alias("text")), branches, **bounds)
 
@@ -203,7 +226,7 @@ def format_conversations(conversations: DataFrame, **bounds: int) -> DataFrame:
         F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.substring(text, 1, 32).alias("start"), F.md5(text).alias("key")
     )
     ranked = gapless_rank(rows, ["tree"], [F.col("turn"), F.col("role"), F.col("start"), F.col("key")], "node")
-    nodes = settle(ranked.select("tree", "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "key", F.lit(None).cast("double").alias("score")))
+    nodes = settle(ranked.select(F.monotonically_increasing_id().alias("id"), "tree", "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "key", F.lit(None).cast("double").alias("score")))
     return _of_trees(nodes, conversations.select(F.col("conv_id").alias("tree"), F.md5(text).alias("key"), text.alias("text")), None, **bounds)
 
 

@@ -97,6 +97,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled_rows(df: DataFrame) -> int:
+    """The number of rows of a settled table, counted in one stage: an aggregation takes two and a plan."""
+    return df._jdf.queryExecution().toRdd().count()
+
+
 def local_session(app: str = "ostra", cpus: int | str | None = None) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")

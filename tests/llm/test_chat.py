@@ -2,8 +2,10 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from ostra.llm import chat
 from ostra.llm.chat import END, START, digest, escape, format_conversations, format_trees, format_turns, paths, read_turns, unescape
 from ostra.llm.queries import op3_chat_trees
+from ostra.session import settle
 
 from tests_data import SMALL
 
@@ -90,3 +92,30 @@ def test_trees_are_formatted_branch_by_branch(spark):
         assert {(r.tree, r.leaf): read_turns(r.formatted) for r in made} == wanted
         assert all(["".join(unescape(r.formatted[s.start : s.end])) for s in r.spans] == [t for role, t in wanted[r.tree, r.leaf] if role == "assistant"] for r in made)
     assert {(r.tree, r.leaf) for r in format_trees(messages, branches=1).collect()} == {("t", 6), ("u", 3), (None, 7)}
+
+
+def test_long_conversations_dont_blow_up_plans(spark, monkeypatch):
+    known = lambda df: len(df._jdf.queryExecution().optimizedPlan().constraints().mkString(" "))
+    sizes = []
+    monkeypatch.setattr(chat, "settle", lambda df: sizes.append(known(df)) or settle(df))
+    rows = [("t", i, i - 1 if i else None, None) for i in range(300)] + [("u", 0, 1, 1.0), ("u", 1, 0, 1.0), ("u", 2, 1, 1.0), ("v", 5, 4, 2.0)]
+    found = paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double"))
+    # 172,731 characters of constraints, 2.6 times as many with each doubling, when unions were settled
+    assert max([*sizes, known(found)]) < 1000
+    assert sorted(tuple(r) for r in found.collect()) == [("t", 299, 0, i, i + 1) for i in range(300)] + [("v", 5, 0, 5, 1)]
+
+
+def test_scores_along_long_paths(spark):
+    rows = [("t", i, i - 1 if i else None, float(i)) for i in range(45)] + [("t", 100 + i, 99 + i if i else 20, 3.0 * i) for i in range(30)] + [("t", 200, 0, 22.0)]
+    messages = spark.createDataFrame(rows, "tree string, node long, parent long, score double")
+    up, score = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    ways = {}
+    for leaf in (44, 129, 200):
+        ways[leaf], at = [], leaf
+        while at is not None:
+            ways[leaf].insert(0, at)
+            at = up[at]
+    ranked = sorted(ways, key=lambda leaf: (-sum(score[n] for n in ways[leaf]) / len(ways[leaf]), leaf))
+    wanted = sorted(("t", leaf, b, n, d) for b, leaf in enumerate(ranked) for d, n in enumerate(ways[leaf], 1))
+    assert sorted(tuple(r) for r in paths(messages).collect()) == wanted
+    assert sorted(tuple(r) for r in paths(messages, branches=2).collect()) == [r for r in wanted if r[2] < 2]
