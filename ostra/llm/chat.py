@@ -25,6 +25,8 @@ from ostra.session import settle, settled_rows
 
 #: A tree of more bytes of text, or of more rows on its paths, isn't held by one task: its paths are gathered each for itself.
 TREE_BYTES, TREE_ROWS = 64 << 20, 4_000_000
+#: Joins in one plan, which is planned again after each of its stages: with more of them its driver's work would grow by their square.
+STEPS = 4
 #: Formatted characters after which a task hands on what it has.
 FLUSH = 4 << 20
 START, END = "<|im_start|>", "<|im_end|>"
@@ -97,6 +99,7 @@ def _paths(nodes: DataFrame, branches: int | None) -> DataFrame:
         heads = heads.join(far, F.col("at") == F.col("from"), "left").select(
             "tree", "leaf", "id", F.coalesce("up", "at").alias("at"), F.when(F.col("up").isNull(), F.col("length")).otherwise(F.col("length") + 2**k).alias("length"), (F.col("total") + F.coalesce("by", F.lit(0.0))).alias("total")
         )
+        heads = settle(heads) if k % STEPS == 0 and 0 < k < len(jumps) - 1 else heads
     ranked = gapless_rank(heads.select("tree", "leaf", "id", "length", (F.col("total") / F.col("length")).alias("mean")), ["tree"], [F.desc("mean"), F.col("leaf")], "branch")
     chosen = settle((ranked if branches is None else ranked.where(F.col("branch") < branches)).select("id", "leaf", "branch", "length"))
     members = chosen.select("leaf", "branch", "id", F.col("length").alias("depth"))
@@ -105,6 +108,7 @@ def _paths(nodes: DataFrame, branches: int | None) -> DataFrame:
         far = jumps[k].select(F.col("id").alias("from"), "up")
         higher = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("id"), (F.col("depth") - 2**k).alias("depth")))
         members = members.join(far, F.col("id") == F.col("from"), "left").select("leaf", "branch", F.inline(F.array(F.struct("id", "depth"), higher))).where("id is not null")
+        members = settle(members) if k % STEPS == 0 and 0 < k < len(jumps) - 1 else members
     return members.select("id", "leaf", "branch", "depth")
 
 
@@ -209,10 +213,10 @@ def format_trees(messages: DataFrame, branches: int | None = None, **bounds: int
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     nodes = settle(
-        messages.groupBy("tree", "node").agg(F.min(F.struct("parent", role.alias("role"), F.md5(text).alias("key"), "score")).alias("r"))
+        messages.groupBy("tree", "node").agg(F.min(F.struct("parent", role.alias("role"), F.unhex(F.md5(text)).alias("key"), "score")).alias("r"))
         .select(F.monotonically_increasing_id().alias("id"), "tree", "node", "r.parent", "r.role", "r.key", "r.score")
     )
-    return _of_trees(nodes, messages.select("tree", F.md5(text).alias("key"), text.alias("text")), branches, **bounds)
+    return _of_trees(nodes, messages.select("tree", F.unhex(F.md5(text)).alias("key"), text.alias("text")), branches, **bounds)
 
 
 def format_conversations(conversations: DataFrame, **bounds: int) -> DataFrame:
@@ -223,11 +227,11 @@ def format_conversations(conversations: DataFrame, **bounds: int) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     rows = conversations.select(
-        F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.substring(text, 1, 32).alias("start"), F.md5(text).alias("key")
+        F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.substring(text, 1, 32).alias("start"), F.unhex(F.md5(text)).alias("key")
     )
     ranked = gapless_rank(rows, ["tree"], [F.col("turn"), F.col("role"), F.col("start"), F.col("key")], "node")
     nodes = settle(ranked.select(F.monotonically_increasing_id().alias("id"), "tree", "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "key", F.lit(None).cast("double").alias("score")))
-    return _of_trees(nodes, conversations.select(F.col("conv_id").alias("tree"), F.md5(text).alias("key"), text.alias("text")), None, **bounds)
+    return _of_trees(nodes, conversations.select(F.col("conv_id").alias("tree"), F.unhex(F.md5(text)).alias("key"), text.alias("text")), None, **bounds)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
